@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICES = 4096
 #: Cells are a stated, bounded table; more than this is refused rather than broadcast.
@@ -103,7 +104,7 @@ def proportional_sample(rows: DataFrame, cells: DataFrame, id_col: str, dims: li
         .withColumn("target_rows", F.coalesce(F.col("target_share") * F.col("sample_rows"), F.lit(0.0)))
         .withColumn("unmet", F.col("available") < F.greatest(F.coalesce(F.col("min_rows").cast("double"), F.lit(0.0)), "target_rows") - 1e-9)
     )
-    out = base.schema.add("quota", "long").add("taken", "long").add("reached_share", "double")
+    out = T.StructType([*base.schema.fields, T.StructField("quota", T.LongType()), T.StructField("taken", T.LongType()), T.StructField("reached_share", T.DoubleType())])
     report = base.groupBy("mix_name").applyInPandas(lambda x: _allot(x)[[f.name for f in out]], out)
 
     # Trimming: the threshold slice of every cell, from the counts alone.

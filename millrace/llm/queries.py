@@ -11,6 +11,7 @@ from millrace.functions.labels import mended_family, mended_label, mended_langua
 from millrace.llm.blending import blend
 from millrace.llm.canonical import Ledger
 from millrace.llm.capping import cap_per_contributor
+from millrace.llm.leakage import leaked
 from millrace.llm.mixture import Sample, proportional_sample
 from millrace.llm.pairs import defective_pairs
 from millrace.llm.tokens import token_budget, tokenizer_of
@@ -106,6 +107,25 @@ def p5_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(t, "content", tokenizer_of(spark, d), by, "record_id", "loaded_at")
 
 
+# Problem 6
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    j = table(spark, d, "judge_row", "id", "question", "answer", "context")
+    whole = j.select(F.col("id").alias("item_id"), F.col("question").alias("text"), F.lit(True).alias("whole"), "answer")
+    return whole.unionAll(j.select("id", F.explode("context.paragraph_text"), F.lit(False), "answer"))
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents", "doc_id", "text"), _held_out(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select("doc_id", "item_id")
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("has_answer").alias("has_answer"))
+
+
 # Problem 7
 def _blend(spark: SparkSession, d: str):
     docs = table(spark, d, "documents", "doc_id", "text", "source")
