@@ -14,6 +14,7 @@ from millrace.llm.capping import cap_per_contributor
 from millrace.llm.leakage import leaked
 from millrace.llm.mixture import Sample, proportional_sample
 from millrace.llm.pairs import defective_pairs
+from millrace.llm.residue import residue
 from millrace.llm.tokens import token_budget, tokenizer_of
 from millrace.session import spread
 from millrace.sources.tables import table
@@ -145,5 +146,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _blend(spark, d).rows
 
 
+# Problem 8
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).filter("label is not null").select("doc_id")
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
