@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.canonical import visible
 from millrace.llm.components import connected_components
@@ -198,7 +199,7 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, key, simhash(sh), sh.astype(np.int64)))
             yield pd.DataFrame(rows, columns=["_id", "label", "node", "hash", "shingles"])
 
-    return docs.mapInPandas(part, docs.select("_id").schema.add("label", "string").add("node", "string").add("hash", "long").add("shingles", "array<bigint>"))
+    return docs.mapInPandas(part, docs.select("_id").schema.add("label", "string").add("node", "string").add("hash", "long").add("shingles", T.ArrayType(T.LongType())))
 
 
 def near_duplicates(nodes: DataFrame) -> DataFrame:
