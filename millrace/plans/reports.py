@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions.text import hex_int, norm_question
-from millrace.plans.base import CA, RE, TK, TR, cards, records, tasks, trajectories
+from millrace.plans.base import CA, RE, TK, cards, records, tasks
 from millrace.registry import query
 from millrace.sources.tables import table
 
@@ -89,12 +88,12 @@ def a17(spark, d):
     return c.groupBy("task_type").agg(F.count("*").alias("answers"), F.round(F.max("k") / F.sum("k"), 6).alias("top_share"))
 
 
-_Q = "lower(trim(regexp_replace(prompt, '\\s+', ' ', 'g')))"
+_Q = "lower(regexp_replace(regexp_replace(prompt, '[ \\t\\r\\n\\f]+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
 @query("a18_conflicts", f"with {TK}, q as (select {_Q} as q, count(distinct oracle_answer) as answers, count(*) as n from tk group by 1) select count(*) as questions, count(*) filter (where answers > 1) as conflicting, coalesce(sum(n) filter (where answers > 1), 0)::bigint as affected, max(answers) as worst from q")
 def a18(spark, d):
-    q = F.lower(F.trim(F.regexp_replace("prompt", r"\s+", " ")))
+    q = F.lower(F.trim(F.regexp_replace("prompt", r"[ \t\r\n\f]+", " ")))
     c = tasks(spark, d, "prompt", "oracle_answer").groupBy(q.alias("q")).agg(F.countDistinct("oracle_answer").alias("answers"), F.count("*").alias("n"))
     bad = F.col("answers") > 1
     return c.agg(F.count("*").alias("questions"), F.count(F.when(bad, 1)).alias("conflicting"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("affected"), F.max("answers").alias("worst"))

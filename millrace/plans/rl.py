@@ -26,9 +26,9 @@ def rollouts(spark, d):
     return c.select("task_id", F.substring_index("task_id", "#", 1).alias("grp"), "reward", F.coalesce("success", F.lit(False)).alias("success"), "num_calls", F.coalesce(F.col("stop_reason") == "empty_turn", F.lit(False)).alias("void"))
 
 
-@query("rw_reward_parts", f"with {RO} select task_id, round(reward, 4) as reward from ro")
+@query("rw_reward_parts", f"with {RO} select task_id, round(reward, 6) as reward from ro")
 def rw(spark, d):
-    return rollouts(spark, d).select("task_id", F.round("reward", 4).alias("reward"))
+    return rollouts(spark, d).select("task_id", F.round("reward", 6).alias("reward"))
 
 
 _W = "over (partition by grp)"
@@ -45,9 +45,9 @@ def w02_mad(spark, d):
     return rollouts(spark, d).select("task_id", F.round(centred(F.col("reward"), "grp", "mad"), 4).alias("advantage"))
 
 
-@query("w02_planb_none", f"with {RO}, {_AG} select task_id, round(reward - mean, 4) as advantage from m")
+@query("w02_planb_none", f"with {RO}, {_AG} select task_id, round(reward - mean, 10) + 0.0 as advantage from m")
 def w02_none(spark, d):
-    return rollouts(spark, d).select("task_id", F.round(centred(F.col("reward"), "grp", "none"), 4).alias("advantage"))
+    return rollouts(spark, d).select("task_id", (F.round(centred(F.col("reward"), "grp", "none"), 10) + F.lit(0.0)).alias("advantage"))
 
 
 @query("w02_planb_sign", f"with {RO}, s as (select *, sqrt(avg((reward - 0.5) * (reward - 0.5)) {_W}) as sd from ro) select task_id, round(case when sd < 1e-4 then 0 else (reward - 0.5) / (sd + 1e-4) end, 4) as advantage from s")
@@ -55,9 +55,9 @@ def w02_sign(spark, d):
     return rollouts(spark, d).select("task_id", F.round(centred(F.col("reward"), "grp", "std", "sign", 0.5), 4).alias("advantage"))
 
 
-@query("w03_efficiency", f"with {RO}, b as (select *, min(num_calls) filter (where success) {_W} as best from ro) select task_id, round(case when success then reward * greatest(0.2::double, 1 - 0.5::double * (num_calls - best) / greatest(1, best)) else reward end, 4) as reward from b")
+@query("w03_efficiency", f"with {RO}, b as (select *, min(num_calls) filter (where success) {_W} as best from ro) select task_id, round(case when success then reward * greatest(0.2::double, 1 - 0.5::double * (num_calls - best) / greatest(1, best)) else reward end, 6) as reward from b")
 def w03(spark, d):
-    return rollouts(spark, d).select("task_id", F.round(by_efficiency(F.col("reward"), F.col("num_calls"), F.col("success"), "grp", 0.5), 4).alias("reward"))
+    return rollouts(spark, d).select("task_id", F.round(by_efficiency(F.col("reward"), F.col("num_calls"), F.col("success"), "grp", 0.5), 6).alias("reward"))
 
 
 @query("w04_dqw", f"with {RO}, g as (select grp, avg(reward) as mean from ro group by 1), x as (select grp, exp(-mean / 0.5::double - (select max(-mean / 0.5::double) from g)) as e from g) select grp, round(count(*) over () * e / sum(e) over (), 4) as weight from x")
