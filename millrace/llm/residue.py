@@ -52,7 +52,7 @@ _MENU_CUT = re.compile(r"\s*(?:[|»›·•/]|\s-\s|—|–|>|\n)\s*")
 # Units (lines or sentences) of error pages, in the languages of the data and the usual ones of the web.
 _STATUS = r"(?:bad request|unauthori[sz]ed|forbidden|not found|gone|too many requests|internal server error|internal error|bad gateway|service unavailable|gateway time-?out|request time-?out|method not allowed|payment required|conflict|not implemented|access denied|page not found|server error|service temporarily unavailable|rate limit(?:ed)?)"
 _ERROR = re.compile(r"^(?:" + "|".join([
-    rf"(?:https? ?)?(?:error |status |code |http )*[45]\d\d(?:[ :.\-–—]+(?:error[ :]*)?{_STATUS})?(?:[ .:\-].{{0,12}})?", rf"(?:error[ :\-]*)?{_STATUS}", r"\[?[45]\d\d\]?", r"(?:an? )?(?:unexpected |internal |unknown |server |fatal )*error(?: occurred| has occurred)?.{0,25}",
+    rf"(?:https? ?)?(?:error |status |code |http )*[45]\d\d[ :.\-–—]+(?:error[ :]*)?{_STATUS}(?:[ .:\-].{{0,12}})?", r"(?:https?[ :]+|error[ :]+|status[ :]+|code[ :]+)+[45]\d\d(?:[ .:\-].{0,12})?", rf"(?:error[ :\-]*)?{_STATUS}", r"(?:an? )?(?:unexpected |internal |unknown |server |fatal )*error(?: occurred| has occurred)?.{0,25}",
     r"please (?:try|sign in|log in|reload|refresh|come back|contact|check|wait).{0,60}", r"(?:try|sign in|log in) again.{0,40}", r"the server (?:could not|cannot|encountered|is|was|returned|did not).{0,80}", r"the (?:page|resource|document|requested|passage|url|address)(?: \w+){0,4} (?:is not here|was not found|could not be found|cannot be found|not found|does not exist|no longer exists|has moved|is gone|is missing|is unavailable).{0,50}",
     r"/[\w/\-.]+", r"(?:reference|request id|incident|ray(?: id)?|trace|error id|code)[ :#]+[\w\-]{3,40}", r"(?:oops|whoops|uh[- ]oh|sorry)[!,. ]*(?:something went wrong|we can['’]?t find that page|that page.{0,40}|there was.{0,40}|an error.{0,40})?.{0,20}", r"something went wrong.{0,40}", r"well,? this is awkward",
     r"(?:sorry,? )?(?:we|i) (?:can['’]?t|cannot|could not|couldn['’]t) find (?:that|the|this|your) (?:page|passage|document).{0,30}", r"this (?:page|site|service|passage) (?:has moved|is down|is unavailable|is temporarily unavailable|no longer exists|does not exist|isn['’]t available|is not available|cannot be displayed|can['’]t be reached|is currently).{0,60}",
@@ -64,6 +64,8 @@ _ERROR = re.compile(r"^(?:" + "|".join([
     r"сервис (?:временно )?недоступен.{0,30}", r"страница не (?:найдена|существует).{0,30}", r"(?:внутренняя )?ошибка(?: сервера| \d{3})?.{0,30}", r"доступ (?:запрещ[её]н|закрыт).{0,30}", r"(?:пожалуйста,? )?(?:попробуйте|повторите|проверьте).{0,50}", r"сессия истекла.{0,20}", r"сервер (?:не отвечает|недоступен).{0,30}", r"произошла ошибка.{0,30}",
     r".{0,20}ページ(?:が|は)(?:見つかりません|存在しません|表示できません).{0,25}", r".{0,20}(?:エラー|サーバー).{0,25}", r".{0,15}アクセス(?:が拒否|できません|権限).{0,20}", r".{0,15}(?:しばらく|後ほど|後で|もう一度).{0,25}", r".{0,15}(?:メンテナンス|利用できません|ご利用いただけません|一時的に).{0,25}", r".{0,10}(?:アドレス|url)をご?確認.{0,15}",
 ]) + r")$", re.I)
+#: A status code alone may as well be a number; it counts only beside other residue.
+_CODE = re.compile(r"^[45]\d\d$")
 _JS = r"(?:javascript|java script|scripts?|scripting|active content|cookies and javascript)"
 _SCRIPT = re.compile(r"^(?:noscript[: ]*)?(?:" + "|".join([
     rf"(?:please |you must |you need to |to continue,? )*(?:enable|turn on|activate|allow|switch on) {_JS}.{{0,70}}", rf"{_JS} (?:is|are|must be|has to be|needs? to be|seems to be|appears to be) (?:disabled|switched off|turned off|off|blocked|enabled|required to|needed|not enabled|not available|not running)\b.{{0,70}}", rf"{_JS} (?:is|are) required(?: to (?:view|continue|use|run|see|load|read|open|show|display).{{0,50}}| for (?:this|the).{{0,40}})?",
@@ -144,7 +146,7 @@ def whole_label(text: str) -> str | None:
         k = u.strip(" .!?:,;…。！？\t-–—*#()[]{}\"'“”»«>|")
         n = max(1, len(u))
         size += n
-        kind = "neutral" if not k else "filler" if _lorem(u) else "script" if _SCRIPT.match(k) else "error" if _ERROR.match(k) else "filler" if _STUB.match(k) or _STUB.match(u) else None
+        kind = "neutral" if not k or _CODE.match(k) else "filler" if _lorem(u) else "script" if _SCRIPT.match(k) else "error" if _ERROR.match(k) else "filler" if _STUB.match(k) or _STUB.match(u) else None
         if kind is None and len(k) > 3:
             # several short stubs in one line
             parts = [p.strip(" .()") for p in re.split(r"\s+[-–|/]\s+|[.!?]\s+", k)]
