@@ -185,45 +185,69 @@ def simhash(h: np.ndarray) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
+def _node(toks: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join("0" if x[0].isdigit() else x for x in toks).encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """id, label, node (128-bit key of the words), simhash and shingles of every text with words in it."""
+    """id, label, node (96-bit key of the words) and simhash of every text with words in it.
+
+    Shingles are made anew for the few texts that come into a pair; only rows without id carry theirs along.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["_id"], b["_text"]):
-                toks = words_of(t)
-                if not toks and not t.strip():
+            for i, t, known in zip(b["_id"], b["_text"], b["_known"]):
+                if not t.strip():
                     continue
+                toks = words_of(t)
                 sh = shingles_of(toks)
-                key = hashlib.blake2b(" ".join("0" if x[0].isdigit() else x for x in toks).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
                 label = whole_label(t)
-                rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, key, simhash(sh), sh.astype(np.int64)))
+                rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, _node(toks), simhash(sh), None if known else sh.astype(np.int64)))
             yield pd.DataFrame(rows, columns=["_id", "label", "node", "hash", "shingles"])
 
-    return docs.mapInPandas(part, docs.select("_id").schema.add("label", "string").add("node", "string").add("hash", "long").add("shingles", T.ArrayType(T.LongType())))
+    schema = docs.select("_id").schema.add("label", "string").add("node", "binary").add("hash", "long").add("shingles", T.ArrayType(T.LongType()))
+    return docs.withColumn("_known", F.col("_id").isNotNull()).mapInPandas(part, schema)
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the nodes wanted (node, rep: the id of a row that has the text, shingles where there is none)."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(n, shingles_of(toks).astype(np.int64)) for n, t in zip(b["node"], b["_text"]) if _node(toks := words_of(t)) == bytes(n)]
+            yield pd.DataFrame(rows, columns=["node", "shingles"])
+
+    schema = wanted.select("node").schema.add("shingles", T.ArrayType(T.LongType()))
+    made = docs.join(wanted.filter("rep is not null").select(F.col("rep").alias("_id"), "node"), "_id").select("node", "_text").mapInPandas(part, schema)
+    return made.unionAll(wanted.filter("rep is null").select("node", "shingles")).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def near_duplicates(nodes: DataFrame) -> DataFrame:
-    """(a, b) of different nodes (node, hash, shingles) whose fingerprints are close and whose shingles agree.
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of different nodes (node, hash) whose fingerprints are at most HAMMING bits apart and meet in a table.
 
     Each table keys on two of six blocks of the fingerprint. Copies of one text are one node before they come here, so a
-    bucket holds different texts only; pairs leave the join only if their Hamming distance passes, and each pair is kept
-    by the first table in which it meets.
+    bucket holds different texts only, and pairs leave the join only if their Hamming distance passes.
     """
     width = [11, 11, 11, 11, 10, 10]
     at = list(itertools.accumulate([0, *width]))
     block = [F.shiftrightunsigned(F.col("hash"), at[i]).bitwiseAND((1 << width[i]) - 1) for i in range(BLOCKS)]
     tables = list(itertools.combinations(range(BLOCKS), KEYED))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), (block[i] * (1 << 11) + block[j]).alias("k")) for t, (i, j) in enumerate(tables)])
-    keyed = nodes.select("node", "hash", F.explode(keys).alias("x")).select("node", "hash", "x.t", "x.k")
-    a = keyed.select(F.col("node").alias("a"), F.col("hash").alias("ha"), "t", "k")
-    b = keyed.select(F.col("node").alias("b"), F.col("hash").alias("hb"), "t", "k")
-    pairs = a.join(b, ["t", "k"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= HAMMING)).select("a", "b").distinct()
-    s = nodes.select("node", "shingles")
-    pairs = pairs.join(s.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
+    keys = F.array(*[(F.lit(t) * (1 << 22) + block[i] * (1 << 11) + block[j]).cast("int") for t, (i, j) in enumerate(tables)])
+    keyed = nodes.select("node", "hash", F.explode(keys).alias("k"))
+    a = keyed.select(F.col("node").alias("a"), F.col("hash").alias("ha"), "k")
+    b = keyed.select(F.col("node").alias("b"), F.col("hash").alias("hb"), "k")
+    far = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    return a.join(b, "k").filter((F.col("a") < F.col("b")) & (far <= HAMMING)).select("a", "b").distinct()
+
+
+def similar(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
+    """The pairs whose shingles (node, shingles) have at least SIMILAR in common."""
+    s = shingled
+    p = pairs.join(s.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a").join(s.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return p.filter(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +262,11 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     prints = written(_fingerprints(spread(src)), "prints")
-    nodes = prints.groupBy("node").agg(F.first("hash").alias("hash"), F.first("shingles").alias("shingles"), F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("trusted"))
-    nodes = written(nodes, "nodes")
-    links = written(near_duplicates(nodes), "links")
+    trusted = F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("trusted")
+    nodes = written(prints.groupBy("node").agg(F.first("hash").alias("hash"), trusted, F.min("_id").alias("rep"), F.first("shingles", ignorenulls=True).alias("shingles")), "nodes")
+    pairs = written(close_pairs(nodes.select("node", "hash")), "pairs")
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "rep", "shingles")
+    links = written(similar(pairs, _shingled(src, wanted)), "links")
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = comp.join(degree, "node").join(nodes.select("node", "trusted"), "node")
@@ -250,6 +276,6 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = linked.select("node", "component", "n_links").join(passed, "component", "left")
     out = prints.select("_id", "label", "node").join(linked, "node", "left")
     return out.select(
-        F.col("_id").alias(id_col), F.coalesce("label", "passed").alias("label"), F.coalesce("component", "node").alias("component"),
+        F.col("_id").alias(id_col), F.coalesce("label", "passed").alias("label"), F.lower(F.hex(F.coalesce("component", "node"))).alias("component"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("label").isNotNull(), "rule").when(F.col("passed").isNotNull(), "component").alias("by"),
     )

@@ -13,7 +13,7 @@ from millrace.llm.components import connected_components
 from millrace.llm.leakage import agrees, hard_words, leaked, words
 from millrace.llm.mixture import proportional_sample
 from millrace.llm.pairs import defective_pairs, defects
-from millrace.llm.residue import near_duplicates, residue, shingles_of, simhash, slot, whole_label, words_of
+from millrace.llm.residue import close_pairs, residue, shingles_of, similar, simhash, slot, whole_label, words_of
 from millrace.llm.tokens import Bpe, Tokenizer, merge_plainly, token_budget
 
 CELLS = "mix_name string, cell_id string, sample_share double, kind string, tier int, target_share double, min_rows int"
@@ -230,7 +230,8 @@ def test_near_duplicates_against_brute_force(spark):
     for i, t in enumerate(texts):
         sh = shingles_of(words_of(t.replace("w", "word")))
         rows.append((f"{i:03}", simhash(sh), [int(x) for x in sh.astype("int64")]))
-    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "node string, hash long, shingles array<long>")).collect()}
+    df = spark.createDataFrame(rows, "node string, hash long, shingles array<long>")
+    got = {tuple(r) for r in similar(close_pairs(df), df.select("node", "shingles")).collect()}
     sets = {n: set(s) for n, _, s in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got <= want and (not want or len(got) >= 0.5 * len(want))
@@ -238,10 +239,12 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_residue_passes_labels_on_but_not_slots(spark):
     err = "The store of passages is closed today and nobody can say when the doors of it will be open for you again my friend"
-    docs = [(1, "Please enable JavaScript to view the passage."), (2, None), (3, "  "), (4, "A mill stands in {town} and the river by it is slow, so the wheel turns only in spring when snow melts."), (5, "A mill stands in Oslo and the river by it is slow, so the wheel turns only in spring when snow melts."), (6, err), (6, err), (7, "Please enable JavaScript to view the passage.")]
+    docs = [(1, "Please enable JavaScript to view the passage."), (2, None), (3, "  "), (4, "A mill stands in {town} and the river by it is slow, so the wheel turns only in spring when snow melts."), (5, "A mill stands in Oslo and the river by it is slow, so the wheel turns only in spring when snow melts."), (6, err), (6, err), (7, "Please enable JavaScript to view the passage."), (None, err + " today")]
     df = spark.createDataFrame(docs, "doc_id int, text string").withColumn("label", F.lit("clash"))
     got = [(r["doc_id"], r["label"]) for r in residue(df).collect()]
-    assert sorted(x for x in got if x[1]) == [(1, "script"), (4, "slot"), (7, "script")] and len(got) == 6
+    assert sorted(x for x in got if x[1]) == [(1, "script"), (4, "slot"), (7, "script")] and len(got) == 7
+    links = {r["doc_id"]: r["n_links"] for r in residue(df).collect()}
+    assert links[6] == 1 and links[None] == 1 and links[1] == 0  # a row without id is linked too
     assert residue(df.limit(0)).count() == 0
 
 
