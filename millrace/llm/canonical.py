@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
+#: Parts into which the members of each key are dealt where they are joined with it; groups of copies may be of any size.
+SALTS = 16
+
 _FIELD_NAME = r"[^\W\d](?:[\w.\-]*\w)?(?:[ \t][\w.\-]*\w){0,2}"
 _SEGMENT = re.compile(rf"^[\s\-*•>#\"'(\[{{]*(?P<k>{_FIELD_NAME})[\"']?\s*[:=]+\s*(?P<v>.*)$", re.S)
 _KEY_AT = re.compile(r"(?:^|(?<=[\s;|,{(\[\"'“”«*•>\-]))(?P<k>[^\W\d]\w*)[\"']?\s*[:=]+(?=\s|[\"'\[{(\d\w¿«“]|$)")
@@ -114,37 +117,38 @@ def canonical_key(text: Column) -> Column:
 class Ledger:
     """Counts of distinct records by canonical key, grown batch by batch.
 
-    State: two tables bucketed by key in the shared folder. ``counts`` has one row per key: copies and the earliest
-    representative. ``members`` has one row per (key, record id). A batch is aggregated by key first, so that a hot
-    key arrives as one row; it is then full-outer-joined with the matching buckets, counts are added and the earlier
-    representative stays. Both sides are hashed into the same buckets, so the ledger itself is never shuffled again.
-    A batch may repeat records of earlier ones; they are recognised among the members and counted once.
+    State: two bucketed tables in the shared folder. ``counts``, bucketed by key, has one row per key: copies and the
+    earliest representative. ``members``, bucketed by record id, so that a hot key spreads over all buckets, has one row
+    per record. A batch is aggregated by key first, so that a hot key arrives as one row; it is then full-outer-joined
+    with the matching buckets, counts are added and the earlier representative stays. The counts are never shuffled again.
+    A batch may repeat records of earlier ones; they are recognised by id among the members and counted once.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path or shared_dir(spark), buckets
         self.version, self.counts, self.parts = 0, None, []
 
-    def _store(self, df: DataFrame, what: str) -> DataFrame:
+    def _store(self, df: DataFrame, what: str, by: str) -> DataFrame:
         name = f"millrace_{what}_{uuid.uuid4().hex}"
         path = f"{self.path}/{what}-{self.version}"
-        df.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").option("path", path).saveAsTable(name)
+        df.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
     def update(self, batch: DataFrame, id_col: str, text_col: str, order_col: str | None = None) -> "Ledger":
         """Add the records of ``batch``. Earliest is the smallest ``order_col`` (nulls last), ties by id; by default the smallest id.
 
-        Records with a null id or null text belong to no group and are left out; empty texts are one group. An empty
-        batch changes nothing but the version. Further columns are ignored.
+        Records with a null id or null text belong to no group and are left out; empty texts are one group. An id counts
+        once, with the text in which it comes first (in one batch: of the smallest order, then key). An empty batch
+        changes nothing but the version. Further columns are ignored.
         """
         order = F.col(order_col) if order_col else F.col(id_col)
         rec = batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), order.alias("ord")).filter(F.col("id").isNotNull() & F.col("_text").isNotNull())
         rec = rec.select("id", "ord", canonical_key(F.col("_text")).alias("key"))
-        new = rec.groupBy("key", "id").agg(F.min("ord").alias("ord"))
-        if self.parts:
-            new = new.join(self.members(), ["key", "id"], "left_anti")
+        new = rec.groupBy("id").agg(F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "key")).alias("x")).select("id", "x.key", "x.ord")
+        for known in self.parts:  # one co-located anti join a batch
+            new = new.join(known.select("id"), "id", "left_anti")
         self.version += 1
-        new = self._store(new, "members")
+        new = self._store(new, "members", "id")
         first = F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "id")).alias("first")
         fresh = new.groupBy("key").agg(F.count("*").alias("copies"), first)
         if self.counts is not None:
@@ -154,7 +158,7 @@ class Ledger:
                 F.least("o.first", "n.first").alias("first"),
             )
         self.parts.append(new)
-        self.counts = self._store(fresh, "counts")
+        self.counts = self._store(fresh, "counts", "key")
         return self
 
     def members(self) -> DataFrame:
@@ -170,5 +174,6 @@ class Ledger:
 
     def duplicates(self) -> DataFrame:
         """kept_id and id of each record that is not its group's representative."""
-        many = self.groups().filter(F.col("copies") > 1)
-        return self.members().join(many, "key").filter(F.col("id") != F.col("kept_id")).select("kept_id", "id")
+        many = self.groups().filter(F.col("copies") > 1).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        spread_out = self.members().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        return spread_out.join(many, ["key", "salt"]).filter(F.col("id") != F.col("kept_id")).select("kept_id", "id")
