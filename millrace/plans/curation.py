@@ -24,12 +24,12 @@ _SC = f"""{TR}, {CA}, sc as (select tr.task_id, split_part(tr.task_id, '#', 1) a
     when num_calls > greatest(1, coalesce(oracle_calls, 0)) * 2.0 + 1 and not recovered then 'call_bloat' end as reason from sc)"""
 
 
-@query("p01_quality_reason", f"with {_SC} select task_id, reason from qr")
+@query("pr01_quality_reason", f"with {_SC} select task_id, reason from qr")
 def p01(spark, d):
     return scored(spark, d).select("task_id", quality_reason().alias("reason"))
 
 
-@query("p02_repeat", f"with {_SC} select task_id, repeated from sc")
+@query("pr02_repeat", f"with {_SC} select task_id, repeated from sc")
 def p02(spark, d):
     return scored(spark, d).select("task_id", "repeated")
 
