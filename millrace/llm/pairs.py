@@ -224,7 +224,9 @@ def defective_pairs(rows: DataFrame, id_col: str, prompt_col: str, answer_col: s
     verdict = verdict.join(broken, "tail2", "left")
     share = F.coalesce(*[F.when(F.col(f"g{k}") + F.col(f"e{k}") >= n, F.col(f"e{k}") / (F.col(f"g{k}") + F.col(f"e{k}"))) for k, n in ((3, 3), (2, 3), (1, 3))])
     verdict = verdict.select("tail3", "tail2", "tail1", (F.coalesce("broken", F.lit(False)) | (F.coalesce(share, F.lit(1.0)) < abrupt_below)).alias("abrupt")).filter("abrupt")
-    same = [judged[f"tail{k}"].eqNullSafe(verdict[f"tail{k}"]) for k in (3, 2, 1)]
-    out = judged.join(verdict, same, "left").select("id", F.when(F.col("abrupt"), F.array_union("shown", F.array(F.lit("truncated")))).otherwise(F.col("shown")).alias("shown"))
+    # Most answers have nothing to look up; they stay out of the join, where they would all share one key.
+    same = [open_[f"tail{k}"].eqNullSafe(verdict[f"tail{k}"]) for k in (3, 2, 1)]
+    looked = open_.join(verdict, same, "left").select("id", F.when(F.col("abrupt"), F.array_union("shown", F.array(F.lit("truncated")))).otherwise(F.col("shown")).alias("shown"))
+    out = looked.unionAll(judged.filter(F.col("tail1").isNull()).select("id", "shown"))
     ordered = F.filter(F.array(*[F.lit(d) for d in DEFECTS]), lambda d: F.array_contains(F.col("shown"), d))
     return out.filter(F.size("shown") > 0).select(F.col("id").alias(id_col), ordered.alias("defects"))
