@@ -18,13 +18,16 @@ def messages(spark, d):
 
 MS = f"{RE}, ms as (select record_id, generate_subscripts(messages, 1) - 1 as pos, unnest(messages).role as role, coalesce(unnest(messages).content, '') as content from re)"
 _R = "(partition by record_id order by pos)"
-_RW = Window.partitionBy("record_id").orderBy("pos")
+
+
+def _rw():
+    return Window.partitionBy("record_id").orderBy("pos")
 
 
 @query("w07_merge_tool_turns", f"with {MS}, l as (select *, case when role = 'tool' and lag(role) over {_R} = 'tool' then 0 else 1 end as new from ms), i as (select *, sum(new) over {_R} as island from l) select record_id, island::bigint as island, any_value(role) as role, count(*) as n, sum(length(content))::bigint as chars from i group by 1, 2")
 def w07(spark, d):
-    m = messages(spark, d).withColumn("new", F.when((F.col("role") == "tool") & (F.lag("role").over(_RW) == "tool"), 0).otherwise(1))
-    m = m.withColumn("island", F.sum("new").over(_RW))
+    m = messages(spark, d).withColumn("new", F.when((F.col("role") == "tool") & (F.lag("role").over(_rw()) == "tool"), 0).otherwise(1))
+    m = m.withColumn("island", F.sum("new").over(_rw()))
     return m.groupBy("record_id", "island").agg(F.first("role").alias("role"), F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
@@ -34,13 +37,13 @@ _CALL = "role = 'assistant' and contains(content, '<tool_call>')"
 @query("w08_call_index", f"with {MS} select record_id, pos, (sum(({_CALL})::int) over {_R})::bigint as calls_so_far from ms where true")
 def w08(spark, d):
     call = (F.col("role") == "assistant") & F.contains("content", F.lit("<tool_call>"))
-    return messages(spark, d).select("record_id", "pos", F.sum(call.cast("int")).over(_RW).alias("calls_so_far"))
+    return messages(spark, d).select("record_id", "pos", F.sum(call.cast("int")).over(_rw()).alias("calls_so_far"))
 
 
 @query("w11_turn_weights", f"with {MS}, c as (select *, {_CALL} as is_call, sum(({_CALL})::int) over {_R} as i from ms) select record_id, pos, round(case when is_call then 1 + 1.0 / i when contains(content, '<final_answer>') then 0.5 else 1 end, 6)::double as weight from c where role = 'assistant'")
 def w11(spark, d):
     call = (F.col("role") == "assistant") & F.contains("content", F.lit("<tool_call>"))
-    m = messages(spark, d).withColumn("is_call", call).withColumn("i", F.sum(call.cast("int")).over(_RW)).filter("role = 'assistant'")
+    m = messages(spark, d).withColumn("is_call", call).withColumn("i", F.sum(call.cast("int")).over(_rw())).filter("role = 'assistant'")
     w = F.when(F.col("is_call"), 1 + 1.0 / F.col("i")).when(F.contains("content", F.lit("<final_answer>")), 0.5).otherwise(1.0)
     return m.select("record_id", "pos", F.round(w, 6).alias("weight"))
 
@@ -49,7 +52,7 @@ def w11(spark, d):
 def w09(spark, d):
     t = F.when(F.col("role").isin("user", "tool"), norm_text(F.col("content"))).otherwise("")
     m = messages(spark, d).withColumn("t", F.when(t != "", t))
-    before = _RW.rowsBetween(Window.unboundedPreceding, -1)
+    before = _rw().rowsBetween(Window.unboundedPreceding, -1)
     return m.select("record_id", "pos", F.md5(F.array_join(F.collect_list("t").over(before), " ")).alias("seen_md5"))
 
 
@@ -61,7 +64,7 @@ def t26(spark, d):
 
 @query("t27_char_spans", f"with {MS}, l as (select *, (sum(length(content)) over {_R})::bigint as upto from ms) select record_id, pos, upto - length(content) as start, upto as stop from l where role = 'assistant'")
 def t27(spark, d):
-    m = messages(spark, d).withColumn("stop", F.sum(F.length("content")).over(_RW))
+    m = messages(spark, d).withColumn("stop", F.sum(F.length("content")).over(_rw()))
     return m.filter("role = 'assistant'").select("record_id", "pos", (F.col("stop") - F.length("content")).alias("start"), "stop")
 
 
