@@ -1,9 +1,10 @@
 """Problem 8: template residue, filler, error pages and notices that scripts are needed.
 
 Trusted labels come from rules on the whole text: unfilled slots by their syntax, the rest by how much of a document's
-own content, once menus and markup are off, consists of residue. Near-duplicates are found with SimHash tables, verified
-by Hamming distance and by the similarity of their five-word shingles, and joined into components; a document that no
-rule knows takes the label of a component in which residue makes up the content. Slots are not passed on: the
+own content, once menus and markup are off, consists of residue. Near-duplicates are found with SimHash tables and, as
+those miss most pairs near the least similarity, with a prefix filter over shingles that holds every pair; both are
+verified by the similarity of their five-word shingles, and joined into components; a document that no rule knows takes
+the label of a component in which residue makes up the content. Slots are not passed on: the
 near-duplicate of a text with a slot is often the same text with the slot filled.
 """
 
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from millrace.session import spread, written
 SHINGLE, SIMILAR = 5, 0.8
 #: A fingerprint of 64 bits in 6 blocks; a table keys on 2 of them, so fingerprints up to 4 bits apart always meet.
 BLOCKS, KEYED, HAMMING = 6, 2, 10
+#: Counters of the sketch of shingle frequencies, and of a slice of it.
+COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Share of a document's content that must be residue.
 SHARE = 0.6
 
@@ -192,7 +197,7 @@ def _node(toks: list[str]) -> bytes:
 def _fingerprints(docs: DataFrame) -> DataFrame:
     """id, label, node (96-bit key of the words) and simhash of every text with words in it.
 
-    Shingles are made anew for the few texts that come into a pair; only rows without id carry theirs along.
+    Shingles are made anew where they are needed; only rows without id carry their text along.
     """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,24 +209,96 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 toks = words_of(t)
                 sh = shingles_of(toks)
                 label = whole_label(t)
-                rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, _node(toks), simhash(sh), None if known else sh.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["_id", "label", "node", "hash", "shingles"])
+                rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, _node(toks), simhash(sh), None if known else t))
+            yield pd.DataFrame(rows, columns=["_id", "label", "node", "hash", "text"])
 
-    schema = docs.select("_id").schema.add("label", "string").add("node", "binary").add("hash", "long").add("shingles", T.ArrayType(T.LongType()))
+    schema = docs.select("_id").schema.add("label", "string").add("node", "binary").add("hash", "long").add("text", "string")
     return docs.withColumn("_known", F.col("_id").isNotNull()).mapInPandas(part, schema)
 
 
-def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the nodes wanted (node, rep: the id of a row that has the text, shingles where there is none)."""
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and _text of every node (node, rep: the id of a row that has the text, text where there is none).
+
+    An id that several rows have brings all their texts; ``_runs`` leaves out those that are not the node's.
+    """
+    made = docs.join(nodes.filter("rep is not null").select(F.col("rep").alias("_id"), "node"), "_id").select("node", "_text")
+    return made.unionAll(nodes.filter("rep is null").select("node", F.col("text").alias("_text")))
+
+
+def _runs(b: pd.DataFrame) -> Iterator[tuple[bytes, np.ndarray]]:
+    for n, t in zip(b["node"], b["_text"]):
+        if _node(toks := words_of(t)) == bytes(n):
+            yield n, shingles_of(toks)
+
+
+def _shingled(texts: DataFrame) -> DataFrame:
+    """node and shingles of texts (node, _text)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(n, shingles_of(toks).astype(np.int64)) for n, t in zip(b["node"], b["_text"]) if _node(toks := words_of(t)) == bytes(n)]
-            yield pd.DataFrame(rows, columns=["node", "shingles"])
+            yield pd.DataFrame([(n, sh.astype(np.int64)) for n, sh in _runs(b)], columns=["node", "shingles"])
+
+    schema = texts.select("node").schema.add("shingles", T.ArrayType(T.LongType()))
+    return texts.mapInPandas(part, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """Counts of the shingles' hashes, each in one of COUNTERS; a shingle is in no more texts than its counter says.
+
+    Tasks count for themselves and send the slices that are not empty; those are added up where their number sends them.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for _, sh in _runs(b):
+                np.add.at(c, (sh % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for i, part in enumerate(c.reshape(-1, SLICE)):
+            if part.any():
+                yield pd.DataFrame({"slice": [i], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b["slice"], b["counts"]):
+                part = np.frombuffer(zlib.decompress(raw), np.uint32)
+                sums[i] = sums[i] + part if i in sums else part
+        for i, part in sums.items():
+            yield pd.DataFrame({"slice": [i], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+    kind = "slice int, counts binary"
+    out = np.zeros(COUNTERS, np.uint32)
+    for r in texts.mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind).toLocalIterator():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+    return out
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b) of different nodes of texts (node, _text): every pair whose shingles have SIMILAR in common, and others.
+
+    Shingles are put in one order for all texts, the rare first. Of n shingles, those beyond n - SIMILAR n + 1 cannot be
+    the first that two similar texts have in common, so such texts meet in one of these. Shingles that only one text has
+    need no key. A pair stays if a shingle that it meets in leaves room for enough common ones after it.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_frequencies(texts))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = sent.value
+        for b in batches:
+            rows = []
+            for node, sh in _runs(b):
+                n, often = len(sh), c[(sh % np.uint64(COUNTERS)).astype(np.int64)]
+                # The slack keeps rounding from shortening a prefix.
+                first = np.lexsort((sh, often))[: n - math.ceil(SIMILAR * n - 1e-9) + 1]
+                rows.extend((node, int(k), i, n) for i, (k, f) in enumerate(zip(sh[first].astype(np.int64), often[first])) if f > 1)
+            yield pd.DataFrame(rows, columns=["node", "k", "at", "n"])
 
-    schema = wanted.select("node").schema.add("shingles", T.ArrayType(T.LongType()))
-    made = docs.join(wanted.filter("rep is not null").select(F.col("rep").alias("_id"), "node"), "_id").select("node", "_text").mapInPandas(part, schema)
-    return made.unionAll(wanted.filter("rep is null").select("node", "shingles")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    schema = texts.select("node").schema.add("k", "long").add("at", "integer").add("n", "integer")
+    keyed = written(texts.mapInPandas(part, schema), "prefixes")
+    a = keyed.withColumnsRenamed({"node": "a", "at": "ia", "n": "na"})
+    b = keyed.withColumnsRenamed({"node": "b", "at": "ib", "n": "nb"})
+    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return a.join(b, "k").filter((F.col("a") < F.col("b")) & (room >= SIMILAR * (F.col("na") + F.col("nb") - room) - 1e-9)).select("a", "b").distinct()
 
 
 def close_pairs(nodes: DataFrame) -> DataFrame:
@@ -263,10 +340,11 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     prints = written(_fingerprints(spread(src)), "prints")
     trusted = F.max(F.when(F.col("label") != "slot", F.col("label"))).alias("trusted")
-    nodes = written(prints.groupBy("node").agg(F.first("hash").alias("hash"), trusted, F.min("_id").alias("rep"), F.first("shingles", ignorenulls=True).alias("shingles")), "nodes")
-    pairs = written(close_pairs(nodes.select("node", "hash")), "pairs")
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "rep", "shingles")
-    links = written(similar(pairs, _shingled(src, wanted)), "links")
+    nodes = written(prints.groupBy("node").agg(F.first("hash").alias("hash"), trusted, F.min("_id").alias("rep"), F.first("text", ignorenulls=True).alias("text")), "nodes")
+    texts = written(_texts(src, nodes), "texts")
+    pairs = written(close_pairs(nodes.select("node", "hash")).unionAll(prefix_pairs(texts)).distinct(), "pairs")
+    wanted = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    links = written(similar(pairs, _shingled(wanted)), "links")
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = comp.join(degree, "node").join(nodes.select("node", "trusted"), "node")

@@ -237,6 +237,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and (not want or len(got) >= 0.5 * len(want))
 
 
+def test_residue_links_all_pairs_of_the_stated_similarity(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    texts, common = [], [word() for _ in range(30)]
+    for size in [20, 40, 80, 200] * 8:
+        base = [word() for _ in range(size)] + common[: rnd.randrange(30)]
+        texts.append(" ".join(base))
+        for cut in (1, 2, size // 9):  # a run cut off, or words changed
+            texts += [" ".join(base[cut:]), " ".join(base[: -cut // 2] + [word()])]
+    texts = list(dict.fromkeys(texts))
+    sets = [set(shingles_of(words_of(t)).tolist()) for t in texts]
+    want = {i: sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r["doc_id"]: r["n_links"] for r in residue(df).collect() if r["doc_id"] is not None}
+    assert sum(want.values()) > 100 and got == {i: n for i, n in want.items() if i % 9}
+
+
 def test_residue_passes_labels_on_but_not_slots(spark):
     err = "The store of passages is closed today and nobody can say when the doors of it will be open for you again my friend"
     docs = [(1, "Please enable JavaScript to view the passage."), (2, None), (3, "  "), (4, "A mill stands in {town} and the river by it is slow, so the wheel turns only in spring when snow melts."), (5, "A mill stands in Oslo and the river by it is slow, so the wheel turns only in spring when snow melts."), (6, err), (6, err), (7, "Please enable JavaScript to view the passage."), (None, err + " today")]
