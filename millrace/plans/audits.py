@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import FUNCTION_WORDS, invented_names, norm_text
+from millrace.operators.audit import audited_axes
 from millrace.operators.parsing import parsed
 from millrace.plans.base import RE, TR, norm, records, trajectories
 from millrace.plans.episodes import MS, calls, messages, _LOG
@@ -67,6 +68,52 @@ def q07(spark, d):
     return records(spark, d, "messages").agg((F.count("*") >= 500).alias("enough"), (F.count("*") == F.countDistinct("record_id")).alias("unique_ids"), F.bool_and(F.size("messages") > 0).alias("has_messages"))
 
 
+def axes(spark, d):
+    x = audited_axes(F.col("messages"))
+    return records(spark, d, "messages", "meta").select("record_id", F.col("meta.difficulty").alias("hop"), x.alias("x")).select("record_id", "hop", "x.*")
+
+
+_AXES = ["psychic_first", "psychic_think", "unretrieved", "leaky", "conflicting"]
+_FOUND = [F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in _AXES]
+
+
+def by_question(spark, d):
+    """The axes counted per question and hop; conflicting: records with an answer whose question has another one too."""
+    g = axes(spark, d).groupBy("question", "hop").agg(
+        F.count("*").alias("records"), F.count("answer").alias("answered"), F.min("answer").alias("least"), F.max("answer").alias("most"), F.collect_set("calls").alias("calls"),
+        *[F.count_if(F.col(a)).alias(a) for a in _AXES[:-1]],
+    )
+    w = Window.partitionBy("question")
+    return g.withColumn("conflicting", F.when(F.min("least").over(w) != F.max("most").over(w), F.col("answered")).otherwise(0))
+
+
+def whole_verdict(spark, d):
+    found = by_question(spark, d).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *_FOUND)
+    return found.withColumn("clean", F.greatest(*_AXES) == 0)
+
+
+@query("q05_psychic_think")
+def q05(spark, d):
+    return axes(spark, d).select("record_id", "psychic_think")
+
+
+@query("q06_verdict_five")
+def q06_five(spark, d):
+    return whole_verdict(spark, d)
+
+
+@query("q06_hops")
+def q06_hops(spark, d):
+    calls = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("calls")))).cast("array<string>"), "/")
+    return by_question(spark, d).groupBy("hop").agg(F.sum("records").alias("records"), calls.alias("calls"), *_FOUND)
+
+
+@query("q07_data_gate_five")
+def q07_five(spark, d):
+    gate = q07(spark, d).crossJoin(whole_verdict(spark, d).select("clean"))
+    return gate.withColumn("passed", F.col("enough") & F.col("unique_ids") & F.coalesce("has_messages", F.lit(False)) & F.col("clean"))
+
+
 _ST = f"{TR}, st as (select task_id, generate_subscripts(steps, 1) - 1 as step, unnest(steps).assistant_text as t from tr)"
 
 

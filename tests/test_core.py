@@ -1,5 +1,6 @@
 import math
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,37 @@ def test_every_query_has_rows_and_a_stable_schema(spark):
         assert a.schema == b.schema and a.count() > 0
 
 
+def test_verdict_has_five_axes(spark, tmp_path):
+    from millrace import registry
+
+    def hits(text):
+        return "tool", '{"results": [{"title": "Mill", "text": "%s", "score": 5.1949}]}' % text
+
+    call = lambda q, t="": ("assistant", (f"<think>{t}</think>" if t else "") + f'<tool_call>{{"name": "search", "arguments": {{"query": "{q}"}}}}</tool_call>')
+    end = lambda a: ("assistant", f"<final_answer>{a}</final_answer>")
+    clean = [("user", "Who built it?"), call("built it", "First I look."), hits("built by Drask"), end("Drask")]
+    cases = {
+        "clean": [clean],
+        "psychic_first": [[clean[0], call("Oslo mill"), *clean[2:]]],
+        "psychic_think": [[clean[0], call("built it", "I will ask for Oslo"), *clean[2:]]],
+        "unretrieved": [[*clean[:2], hits("nothing"), end("1949")]],
+        "leaky": [[*clean[:3], call("more", "So Drask did it, or Drask again"), hits("none"), end("Drask")]],
+        "conflicting": [clean, [("user", " who  built IT?"), call("built it"), hits("Pell"), end("Pell")]],
+    }
+    schema = "record_id long, source string, lang string, messages array<struct<role:string,content:string,name:string>>, meta struct<difficulty:int>, loaded_at timestamp"
+    for name, records in cases.items():
+        rows = [(i, "s", "en", [(r, c, None) for r, c in m], (2,), datetime(2026, 1, 1)) for i, m in enumerate(records)]
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/sft_record.parquet")
+        run = lambda q: registry.queries()[q](spark, f"{tmp_path}/{name}").collect()  # noqa: B023, E731
+        got = run("q06_verdict_five")[0].asDict()
+        assert got.pop("records") == len(records) and got.pop("clean") == (name == "clean")
+        assert {k for k, n in got.items() if n} == {name} - {"clean"}
+        hop = run("q06_hops")[0].asDict()
+        assert hop["hop"] == 2 and {k: hop[k] for k in got} == got
+        gate = run("q07_data_gate_five")[0]
+        assert gate["clean"] == (name == "clean") and not gate["passed"] and not gate["enough"]
+
+
 def test_core_does_not_import_llm():
     from pathlib import Path
 
