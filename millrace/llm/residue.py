@@ -347,13 +347,14 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = written(similar(pairs, _shingled(wanted)), "links")
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = comp.join(degree, "node").join(nodes.select("node", "trusted"), "node")
+    # A node without links is a component of its own: its rows may be labelled apart, as rules heed punctuation and lines.
+    linked = nodes.select("node", "trusted").join(comp, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A component's label: the one most of its texts were given, if the trusted are at least half of them.
     votes = linked.groupBy("component").agg(F.mode("trusted").alias("passed"), F.count("trusted").alias("known"), F.count("*").alias("size"))
     passed = votes.filter("known > 0 and known * 2 >= size").select("component", "passed")
     linked = linked.select("node", "component", "n_links").join(passed, "component", "left")
     out = prints.select("_id", "label", "node").join(linked, "node", "left")
     return out.select(
-        F.col("_id").alias(id_col), F.coalesce("label", "passed").alias("label"), F.lower(F.hex(F.coalesce("component", "node"))).alias("component"),
+        F.col("_id").alias(id_col), F.coalesce("label", "passed").alias("label"), F.lower(F.hex("component")).alias("component"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("label").isNotNull(), "rule").when(F.col("passed").isNotNull(), "component").alias("by"),
     )

@@ -265,6 +265,12 @@ def test_residue_passes_labels_on_but_not_slots(spark):
     assert residue(df.limit(0)).count() == 0
 
 
+def test_residue_passes_labels_on_between_copies_of_equal_words(spark):
+    docs = [(1, "404 Not Found"), (2, "404\nNot\nFound"), (3, "The mill stands.")]
+    got = {r["doc_id"]: (r["label"], r["by"], r["n_links"]) for r in residue(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    assert got == {1: ("error", "rule", 0), 2: ("error", "component", 0), 3: (None, None, 0)}
+
+
 def test_queries_run_on_small_tables(spark):
     from millrace.llm import queries
 
