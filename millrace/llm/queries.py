@@ -159,5 +159,10 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return _residue(spark, d)
 
 
+def p8_by(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents got which label, by a rule on their own text or from their component."""
+    return _residue(spark, d).filter("label is not null").groupBy("label", "by").agg(F.count("*").alias("documents"), F.countDistinct("component").alias("classes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}

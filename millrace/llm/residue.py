@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import math
 import re
 import unicodedata
@@ -31,8 +32,9 @@ from millrace.session import spread, written
 
 #: Words of a shingle, and the least share of shingles that near-duplicates have in common.
 SHINGLE, SIMILAR = 5, 0.8
-#: A fingerprint of 64 bits in 6 blocks; a table keys on 2 of them, so fingerprints up to 4 bits apart always meet.
-BLOCKS, KEYED, HAMMING = 6, 2, 10
+#: A fingerprint of 64 bits in 6 blocks; a table keys on 3 of them, 31 to 33 bits, so that chance meetings stay fewer than
+#: nodes up to billions of them. Fingerprints up to 3 bits apart always meet; farther pairs come from the prefix filter.
+BLOCKS, KEYED, HAMMING = 6, 3, 10
 #: Counters of the sketch of shingle frequencies, and of a slice of it.
 COUNTERS, SLICE = 1 << 22, 1 << 16
 #: Share of a document's content that must be residue.
@@ -44,6 +46,7 @@ _SLOTS = re.compile("|".join([
     rf"<<\s*{_ID}\s*>>", rf"<%=?\s*{_ID}\s*%>", r"\[\s*(?:insert|enter|add|fill in)\s+[\w ]{2,40}\]", r"\[\s*[\w ]{2,40} (?:goes|comes) here\s*\]", r"\[\s*your [\w ]{2,40}\]",
     rf"(?<![\w#&])#{_ID}#(?!\w)", r"%\([A-Za-z_]\w*\)[sd]", r"(?<![\w%])%[sd](?![\w%])", r"(?<![\w{$\\^_])\{(?:\d{1,2}|[A-Za-z][a-z0-9]+(?:_[A-Za-z0-9]+)*|[A-Z0-9_]{3,})\}(?!\})", r"(?<![\w_])__[A-Z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?![\w_])", r"(?<![\w_])__[a-z0-9]+(?:_[a-z0-9]+)+__(?![\w_])",
 ]), re.I)
+_SLOT_SIGNS = re.compile(r"[{<%#$\[]|__")
 _ANGLE = re.compile(r"<([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*)>")
 #: Tags that may stand without a closing one.
 _OPEN_TAGS = frozenset("br hr p li ul ol td tr th img input meta link wbr col tbody thead option dt dd final_answer answer think tool_call tool_response".split())
@@ -51,7 +54,8 @@ _SPEAKS_OF = re.compile(r"\b(?:templates?|placeholders?|slots?|braces|brackets|v
 _QUOTED = re.compile(r"[\"“”«»„`「』'‘’].{0,160}$", re.S)
 
 # Words of menus.
-_MENU = frozenset("home|menu|search|log in|login|log out|sign in|sign up|about|about us|about this reader|contact|help|imprint|terms|privacy|cookies|share|print|language|sitemap|worlds|passages|top of page|top|back|next|previous|faq|news|settings|skip to content".split("|"))
+_MENU = frozenset("home|menu|search|log in|login|log out|sign in|sign up|about|about us|contact|help|imprint|terms|privacy|cookies|share|print|language|sitemap|archive|top of page|top|back|next|previous|faq|news|settings|skip to content".split("|"))
+_ABOUT = re.compile(r"about (?:this|the|our) \w+$")
 _MENU_CUT = re.compile(r"\s*(?:[|»›·•/]|\s-\s|—|–|>|\n)\s*")
 
 # Units (lines or sentences) of error pages, in the languages of the data and the usual ones of the web.
@@ -62,11 +66,17 @@ _ERROR = re.compile(r"^(?:" + "|".join([
     r"/[\w/\-.]+", r"(?:reference|request id|incident|ray(?: id)?|trace|error id|code)[ :#]+[\w\-]{3,40}", r"(?:oops|whoops|uh[- ]oh|sorry)[!,. ]*(?:something went wrong|we can['’]?t find that page|that page.{0,40}|there was.{0,40}|an error.{0,40})?.{0,20}", r"something went wrong.{0,40}", r"well,? this is awkward",
     r"(?:sorry,? )?(?:we|i) (?:can['’]?t|cannot|could not|couldn['’]t) find (?:that|the|this|your) (?:page|passage|document).{0,30}", r"this (?:page|site|service|passage) (?:has moved|is down|is unavailable|is temporarily unavailable|no longer exists|does not exist|isn['’]t available|is not available|cannot be displayed|can['’]t be reached|is currently).{0,60}",
     r"(?:check|verify) the (?:address|url|spelling).{0,40}", r"you (?:do not|don['’]t) have (?:permission|access|the rights?).{0,50}", r"you are not (?:authori[sz]ed|allowed|permitted).{0,50}", r"slow down.{0,40}", r"your session (?:has )?(?:expired|timed out|ended).{0,40}", r"contact the (?:administrator|site owner|webmaster|support).{0,40}",
-    r"(?:scheduled |planned |down for )?maintenance.{0,40}", r"expected end[ :]+[\d:.]+.{0,12}", r"go back to the (?:start|home|previous|front).{0,60}", r"if this (?:keeps happening|problem persists|persists|continues|error).{0,60}", r"(?:write|report) (?:this )?to the (?:site owner|administrator|webmaster).{0,20}", r"(?:request|connection|upstream|read|the operation|the request) (?:has )?timed? ?out.{0,30}", r"access (?:to this (?:page|site) )?(?:is |was |has been )?denied.{0,30}", r"(?:too many|rate limit).{0,40}requests?.{0,30}", r"the passage service did not answer", r"(?:an )?error (?:establishing|connecting|while|loading|reading|retrieving|processing|fetching|opening).{0,80}", r"(?:warning|fatal error|notice|error)[: ]+(?:\w+ ){0,6}(?:failed|error|invalid|undefined|denied|refused|not found|timed out|exceeded).{0,60}", r"(?:could not|cannot|can['’]?t|failed to|unable to) (?:connect|load|open|reach|fetch|read|resolve|retrieve|establish|contact|display|process).{0,70}", r"(?:fatal|warning|notice|critical|panic)[: ]+.{0,80}(?:code|errno|line|failed|cannot|could not|unable).{0,40}", r"(?:query|connection|request|lookup|search) (?:failed|refused|reset|aborted|closed).{0,50}", r"we (?:are|will be|['’]ll be) (?:making|working|back|doing|upgrading|improving|currently|temporarily|down|performing).{0,70}", r"(?:and )?(?:will be |we['’]ll be )?back (?:shortly|soon|online).{0,30}", r"no backend available",
+    r"(?:scheduled |planned |down for )?maintenance.{0,40}", r"(?:expected|estimated|planned) (?:end|start|return|downtime|duration|completion)[ :]+.{0,20}", r"go back to the (?:start|home|previous|front).{0,60}", r"if this (?:keeps happening|problem persists|persists|continues|error).{0,60}", r"(?:write|report) (?:this )?to the (?:site owner|administrator|webmaster).{0,20}", r"(?:request|connection|upstream|read|the operation|the request) (?:has )?timed? ?out.{0,30}", r"access (?:to this (?:page|site) )?(?:is |was |has been )?denied.{0,30}", r"(?:too many|rate limit).{0,40}requests?.{0,30}", r"(?:an )?error (?:establishing|connecting|while|loading|reading|retrieving|processing|fetching|opening).{0,80}", r"(?:warning|fatal error|notice|error)[: ]+(?:\w+ ){0,6}(?:failed|error|invalid|undefined|denied|refused|not found|timed out|exceeded).{0,60}", r"(?:could not|cannot|can['’]?t|failed to|unable to) (?:connect|load|open|reach|fetch|read|resolve|retrieve|establish|contact|display|process).{0,70}", r"(?:fatal|warning|notice|critical|panic)[: ]+.{0,80}(?:code|errno|line|failed|cannot|could not|unable).{0,40}", r"(?:query|connection|request|lookup|search) (?:failed|refused|reset|aborted|closed).{0,50}", r"we (?:are|will be|['’]ll be) (?:making|working|back|doing|upgrading|improving|currently|temporarily|down|performing).{0,70}", r"(?:and )?(?:will be |we['’]ll be )?back (?:shortly|soon|online).{0,30}",
     r"erreur (?:interne|du serveur|\d{3}|inconnue|de connexion).{0,40}", r"page (?:non trouvée|introuvable).{0,40}", r"(?:le )?service (?:est )?(?:temporairement )?indisponible.{0,40}", r"accès (?:refusé|interdit).{0,30}", r"veuillez réessayer.{0,40}", r"vérifiez l['’]adresse.{0,20}", r"(?:votre|la) session (?:a|est) expirée?.{0,20}", r"une erreur (?:est survenue|s['’]est produite|interne).{0,40}",
     r"página no (?:encontrada|disponible).{0,30}", r"compruebe la dirección.{0,20}", r"error (?:interno|del servidor|de conexión).{0,40}", r"servicio (?:temporalmente )?no disponible.{0,30}", r"acceso denegado.{0,30}", r"inténte?lo (?:de nuevo|más tarde).{0,30}", r"(?:por favor,? )?(?:inténtelo|vuelva a intentarlo).{0,40}", r"(?:su|la) sesión ha (?:caducado|expirado).{0,20}", r"se ha producido un error.{0,30}",
     r"(?:interner |unbekannter )?(?:server)?fehler(?: \d{3})?.{0,30}", r"seite (?:wurde )?nicht gefunden.{0,30}", r"die (?:gesuchte|angeforderte|gewünschte) (?:adresse|seite|datei).{0,50}", r"(?:die |diese )?(?:gewünschte |angeforderte )?seite (?:wurde|konnte|ist|existiert).{0,50}", r"bitte (?:versuchen|prüfen|überprüfen|melden).{0,50}", r"dienst (?:ist )?(?:vorübergehend |derzeit |zurzeit )?nicht (?:verfügbar|erreichbar).{0,30}", r"zugriff verweigert.{0,30}", r"(?:ihre )?sitzung ist abgelaufen.{0,20}", r"wartungsarbeiten.{0,30}",
     r"сервис (?:временно )?недоступен.{0,30}", r"страница не (?:найдена|существует).{0,30}", r"(?:внутренняя )?ошибка(?: сервера| \d{3})?.{0,30}", r"доступ (?:запрещ[её]н|закрыт).{0,30}", r"(?:пожалуйста,? )?(?:попробуйте|повторите|проверьте).{0,50}", r"сессия истекла.{0,20}", r"сервер (?:не отвечает|недоступен).{0,30}", r"произошла ошибка.{0,30}",
+    r"pagina non (?:trovata|disponibile|esiste).{0,30}", r"errore (?:interno|del server|di connessione|\d{3}).{0,40}", r"servizio (?:temporaneamente )?non disponibile.{0,30}", r"accesso negato.{0,30}", r"si è verificato un errore.{0,30}", r"(?:si prega di )?riprova(?:re)?\b.{0,40}", r"la pagina (?:richiesta|cercata).{0,50}",
+    r"página não (?:encontrada|disponível).{0,30}", r"erro (?:interno|do servidor|de conexão|\d{3}).{0,40}", r"serviço (?:temporariamente )?indisponível.{0,30}", r"acesso negado.{0,30}", r"ocorreu um erro.{0,30}", r"(?:por favor,? )?tente novamente.{0,40}",
+    r"pagina niet gevonden.{0,30}", r"(?:interne )?serverfout.{0,30}", r"er is een fout opgetreden.{0,30}", r"probeer het (?:later )?opnieuw.{0,30}", r"toegang geweigerd.{0,30}",
+    r"strona nie (?:została znaleziona|istnieje).{0,30}", r"nie znaleziono (?:żądanej )?strony.{0,30}", r"(?:wewnętrzny )?błąd (?:serwera|wewnętrzny|\d{3}).{0,30}", r"wystąpił błąd.{0,30}", r"odmowa dostępu.{0,30}", r"usługa (?:jest )?(?:tymczasowo )?niedostępna.{0,30}", r"spróbuj ponownie.{0,30}",
+    r".{0,12}(?:页面|网页|頁面|網頁).{0,8}(?:不存在|未找到|找不到|无法访问|無法訪問).{0,15}", r".{0,12}(?:找不到|未找到)(?:该|该个|此|这个|所请求的)?(?:页面|网页|頁面|網頁).{0,15}", r".{0,12}(?:服务器|伺服器|内部|內部|系统|系統).{0,6}(?:错误|錯誤|繁忙).{0,15}", r".{0,12}(?:拒绝访问|拒絕存取|请稍后再试|請稍後再試|服务不可用|服務暫時無法使用).{0,15}",
+    r".{0,15}페이지를? ?(?:찾을 수 없|표시할 수 없).{0,15}", r".{0,15}(?:서버|내부) ?오류.{0,15}", r".{0,15}(?:접근이? 거부|액세스가? 거부|다시 시도|서비스를 (?:사용|이용)할 수 없|일시적으로 이용).{0,15}",
     r".{0,20}ページ(?:が|は)(?:見つかりません|存在しません|表示できません).{0,25}", r".{0,20}(?:エラー|サーバー).{0,25}", r".{0,15}アクセス(?:が拒否|できません|権限).{0,20}", r".{0,15}(?:しばらく|後ほど|後で|もう一度).{0,25}", r".{0,15}(?:メンテナンス|利用できません|ご利用いただけません|一時的に).{0,25}", r".{0,10}(?:アドレス|url)をご?確認.{0,15}",
 ]) + r")$", re.I)
 #: A status code alone may as well be a number; it counts only beside other residue.
@@ -75,8 +85,10 @@ _JS = r"(?:javascript|java script|scripts?|scripting|active content|cookies and
 _SCRIPT = re.compile(r"^(?:noscript[: ]*)?(?:" + "|".join([
     rf"(?:please |you must |you need to |to continue,? )*(?:enable|turn on|activate|allow|switch on) {_JS}.{{0,70}}", rf"{_JS} (?:is|are|must be|has to be|needs? to be|seems to be|appears to be) (?:disabled|switched off|turned off|off|blocked|enabled|required to|needed|not enabled|not available|not running)\b.{{0,70}}", rf"{_JS} (?:is|are) required(?: to (?:view|continue|use|run|see|load|read|open|show|display).{{0,50}}| for (?:this|the).{{0,40}})?",
     rf"(?:your|this|the) (?:browser|page|reader|site|app|application|website)(?: \w+){{0,3}} (?:does not support|doesn['’]t support|has disabled|needs?|requires?|works|relies on|must have|is blocking|blocks)(?: \w+){{0,3}} {_JS}.{{0,80}}", rf"this (?:reader|page|site|app) works (?:with|only with) {_JS}.{{0,60}}", rf"(?:we|you) (?:could not|cannot|can['’]t|need to|must|have to) (?:\w+ ){{0,4}}(?:because )?(?:\w+ ){{0,3}}{_JS}.{{0,80}}", rf"(?:we )?could not load the app.{{0,90}}",
-    r"turn it on in (?:the|your) (?:settings|browser|options).{0,40}", r"(?:and )?reload the page", r"loading(?: the \w+)?", r"(?:verifying|checking|securing) (?:the|your|that|if|you).{0,60}", r"just a moment", r"one more step.{0,60}", r"one moment.{0,20}", r"(?:please )?(?:confirm|verify|prove|show) (?:that )?you are (?:a |not a |an? )?(?:human|robot|person).{0,30}", r"(?:please )?(?:complete|solve) the (?:captcha|security check|challenge).{0,40}", r"(?:ddos protection|performance (?:&|and) security) by.{0,30}", r"(?:please )?(?:enable|allow|accept) cookies.{0,50}", r"(?:this|it) (?:may|should|will) (?:only )?take a few seconds.{0,20}", r"you will be redirected.{0,40}", r"to (?:continue|view the passage|go on)", r"for the search box to appear",
+    r"turn it on in (?:the|your) (?:settings|browser|options).{0,40}", r"(?:and )?reload the page", r"loading(?: the \w+)?", r"(?:verifying|checking|securing) (?:the|your|that|if|you).{0,60}", r"just a moment", r"one more step.{0,60}", r"one moment.{0,20}", r"(?:please )?(?:confirm|verify|prove|show) (?:that )?you are (?:a |not a |an? )?(?:human|robot|person).{0,30}", r"(?:please )?(?:complete|solve) the (?:captcha|security check|challenge).{0,40}", r"(?:ddos protection|performance (?:&|and) security) by.{0,30}", r"(?:please )?(?:enable|allow|accept) cookies.{0,50}", r"(?:this|it) (?:may|should|will) (?:only )?take a few seconds.{0,20}", r"you will be redirected.{0,40}", r"(?:in order )?to (?:continue|go on|proceed|(?:view|see|read|use|open|load|show) (?:the|this|it|more)).{0,30}",
     r"(?:active|habilite|active usted|debe activar|necesita activar) (?:el )?javascript.{0,60}", r"javascript (?:está|es|esté|debe).{0,60}", r"(?:veuillez )?(?:activer|activez|autorisez) (?:le |les )?(?:javascript|scripts).{0,60}", r"javascript (?:est|doit|n['’]est).{0,60}", r"(?:bitte )?(?:aktivieren|schalten|erlauben) sie (?:bitte )?(?:javascript|skripte).{0,60}", r"(?:bitte )?javascript (?:ist|muss|aktivieren|einschalten|zulassen|wird).{0,60}", r"(?:diese seite|dieser leser|ihr browser|diese anwendung) (?:benötigt|braucht|unterstützt|erfordert).{0,20}(?:javascript|skripte).{0,50}", r"(?:esta página|este sitio|su navegador|este lector) (?:necesita|requiere|no admite|no es compatible).{0,20}(?:javascript|scripts).{0,50}", r"(?:cette page|ce site|votre navigateur|ce lecteur) (?:nécessite|requiert|a besoin|ne prend|n['’]accepte).{0,25}(?:javascript|scripts).{0,50}",
+    r"(?:per favore,? )?(?:abilita|attiva|abilitare|attivare) (?:il )?javascript.{0,60}", r"(?:questa pagina|questo sito|il (?:tuo |suo )?browser) (?:richiede|necessita|non supporta).{0,20}(?:javascript|script).{0,50}", r"(?:por favor,? )?(?:ative|habilite|ativar|habilitar) (?:o )?javascript.{0,60}", r"(?:esta página|este site|o? ?seu navegador) (?:requer|precisa|necessita|não suporta).{0,20}(?:javascript|scripts).{0,50}",
+    r"(?:schakel|zet) javascript (?:in|aan).{0,50}", r"(?:proszę )?(?:włącz|włączyć|aktywuj) (?:obsługę )?javascript.{0,60}", r".{0,15}(?:启用|啟用|开启|開啟|打开|允许|支持|禁用).{0,6}(?:javascript|脚本|腳本).{0,30}", r".{0,20}(?:javascript|脚本|腳本).{0,8}(?:禁用|停用|关闭|未启用).{0,20}", r".{0,25}(?:javascript|자바스크립트|스크립트).{0,8}(?:활성화|사용|켜|허용|필요|꺼져).{0,30}",
     r"(?:пожалуйста,? )?(?:включите|разрешите|активируйте) (?:javascript|скрипты|сценарии).{0,60}", r"(?:javascript|скрипты) (?:отключ|выключ|должн|необходим|требу).{0,60}", r".{0,40}(?:нужен|нужны|требуется|требуются) (?:javascript|скрипты).{0,40}", r".{0,30}(?:javascript|スクリプト).{0,12}(?:有効|オン|無効|オフ|必要|許可).{0,30}", r".{0,15}読み込み中.{0,10}",
 ]) + r")$", re.I)
 _STUB = re.compile(r"^(?:" + "|".join([
@@ -91,18 +103,58 @@ quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat d
 non proident sunt culpa qui officia deserunt mollit anim id est laborum vestibulum vestib ornare felis adipo facilis facilisis quentum vexa cras donec ultri ultrices porta pellentesque mauris
 vivamus curabitur praesent nunc quam justo lacus libero sapien turpis viverra""".split())
 _TRACE = re.compile(r"^\s*(?:traceback \(most recent call last\):|exception in thread|(?:[\w.]+(?:error|exception)): .{0,200}\n\s+at )", re.I)
-_JSON_ERROR = re.compile(r"^\s*\{\s*[\"'](?:error|errors|code|status|message|detail|fault)[\"']\s*:(?![\s\S]*[\"']results?[\"']\s*:)[\s\S]{0,400}\}\s*$", re.I)
+# The fields of a JSON error reply; one of the first, or a status of 400 and more, makes it one.
+_FAULTS, _STATUS_FIELDS = frozenset("error errors fault exception".split()), frozenset("status code statuscode status_code".split())
+_REPLY_FIELDS = _FAULTS | _STATUS_FIELDS | frozenset("message msg detail details description reason type title path instance timestamp time request_id requestid trace_id traceid id ok success retry_after help hint documentation_url".split())
 _SEARCH_JSON = re.compile(r"^\s*\{\s*[\"']query[\"']\s*:[\s\S]*[\"'](?:num_results|results)[\"']\s*:")
 _TAGS = re.compile(r"</?[a-z!][^<>]{0,200}>", re.I)
+_BLOCK = re.compile(r"\n\s*\n")
 _UNIT = re.compile(r"\n+|(?<=[.!?。！？])\s*(?=[\w(\[¿¡#])(?<!\d\.)|(?<=[。！？])|\s+\|\s+|\s+»\s+")
 
 
+def json_error(text: str) -> bool:
+    """Whether the text is a JSON object with nothing but the fields of an error reply, whatever its length."""
+    if text.lstrip()[:1] != "{" or text.rstrip()[-1:] != "}":
+        return False
+    try:
+        obj = json.loads(text, strict=False)
+    except (ValueError, RecursionError):
+        return False
+    keys = {str(k).casefold(): v for k, v in obj.items()} if isinstance(obj, dict) else {}
+    if not keys or not keys.keys() <= _REPLY_FIELDS:
+        return False
+    codes = [str(v) for k, v in keys.items() if k in _STATUS_FIELDS]
+    return bool(_FAULTS & keys.keys()) or any(re.fullmatch(r"[45]\d\d", c) for c in codes) or (codes == ["error"])
+
+
+def _values(obj: object) -> Iterator[str]:
+    todo = [obj]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            yield x
+        elif isinstance(x, (dict, list)):
+            todo.extend(x.values() if isinstance(x, dict) else x)
+
+
+def slot_in_reply(text: str) -> bool:
+    """Whether a value of a search reply (JSON) holds an unfilled slot; its own braces and brackets are none."""
+    if not _SLOT_SIGNS.search(text):
+        return False
+    try:
+        return any(slot(x) for x in _values(json.loads(text, strict=False)))
+    except (ValueError, RecursionError):
+        return False
+
+
 def units(text: str) -> list[str]:
     return [u for u in (x.strip() for x in _UNIT.split(text)) if u]
 
 
 def slot(text: str) -> bool:
     """Whether a template slot stands where a value belongs; a slot that a sentence on templates quotes does not count."""
+    if not _SLOT_SIGNS.search(text):
+        return False
     closed = {m.lower() for m in re.findall(r"</\s*([A-Za-z]\w*)", text)}
     found = [m.span() for m in _SLOTS.finditer(text)]
     for m in _ANGLE.finditer(text):
@@ -118,8 +170,12 @@ def slot(text: str) -> bool:
     return False
 
 
-def _menu(unit: str) -> bool:
-    return all(p.strip(" .:").casefold() in _MENU for p in _MENU_CUT.split(unit) if p.strip(" .:"))
+def _menu(part: str) -> bool:
+    """Whether a unit or a block of lines is a menu: short entries without a full stop, all or a third of them usual ones."""
+    entries = [p for x in _MENU_CUT.split(part) if (p := x.strip(" .:").casefold())]
+    known = sum(p in _MENU or bool(_ABOUT.match(p)) for p in entries)
+    short = all(len(p.split()) < 4 and not re.search(r"[.!?。\d]", p) for p in entries)
+    return known == len(entries) or (short and len(entries) > 1 and known * 3 >= len(entries))
 
 
 def _lorem(unit: str) -> bool:
@@ -132,25 +188,26 @@ def whole_label(text: str) -> str | None:
     if _SEARCH_JSON.match(text):
         return None
     v = visible(text)
-    if _JSON_ERROR.match(v):
+    if json_error(v):
         return "error"
     bare = _TAGS.sub("\n", v)
-    body = [u for u in units(bare) if not _menu(u)]
+    body = [u for block in _BLOCK.split(bare) if not _menu(block) for u in units(block) if not _menu(u)]
     if not body:
         return None
     content = "\n".join(body)
     if _TRACE.match(content):
         return "error"
-    if _JSON_ERROR.match(content):
+    if json_error(content):
         return "error"
     w = re.findall(r"\w+", content)
     if len(w) >= 6 and len(set(w)) <= max(1, len(w) // 6):
         return "filler"
-    size, residue = 0, {"error": 0, "script": 0, "filler": 0, "neutral": 0}
-    for u in body:
+    size, other, residue = sum(max(1, len(u)) for u in body), 0, {"error": 0, "script": 0, "filler": 0, "neutral": 0}
+    for u in sorted(body, key=len, reverse=True):
+        if other > (1 - SHARE) * size:
+            return None  # what is left cannot bring residue to its share
         k = u.strip(" .!?:,;…。！？\t-–—*#()[]{}\"'“”»«>|")
         n = max(1, len(u))
-        size += n
         kind = "neutral" if not k or _CODE.match(k) else "filler" if _lorem(u) else "script" if _SCRIPT.match(k) else "error" if _ERROR.match(k) else "filler" if _STUB.match(k) or _STUB.match(u) else None
         if kind is None and len(k) > 3:
             # several short stubs in one line
@@ -159,9 +216,14 @@ def whole_label(text: str) -> str | None:
                 kind = "filler" if _STUB.match(parts[0]) else "script" if _SCRIPT.match(parts[0]) else "error"
         if kind:
             residue[kind] += n
+        else:
+            other += n
     strong = {k: n for k, n in residue.items() if k != "neutral"}
     label = max(strong, key=strong.get)
-    if strong[label] == 0 or sum(residue.values()) < SHARE * size:
+    if strong[label] == 0:
+        # nothing but dashes, dots and the like stands where content should be
+        return "filler" if not w and re.search(r"[-–—_=~*.…]\s*[-–—_=~*.…]\s*[-–—_=~*.…]", content) else None
+    if sum(residue.values()) < SHARE * size:
         return None
     if label == "filler" and re.fullmatch(r"[#\d\s.,:;\-–—%/()]*(?:km|m|kg)?[.\s]*", content):
         return None  # a bare number or sign is a terse answer
@@ -209,7 +271,8 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                 toks = words_of(t)
                 sh = shingles_of(toks)
                 label = whole_label(t)
-                rows.append((i, "slot" if label is None and not _SEARCH_JSON.match(t) and slot(t) else label, _node(toks), simhash(sh), None if known else t))
+                open_ = label is None and (slot_in_reply(t) if _SEARCH_JSON.match(t) else slot(t))
+                rows.append((i, "slot" if open_ else label, _node(toks), simhash(sh), None if known else t))
             yield pd.DataFrame(rows, columns=["_id", "label", "node", "hash", "text"])
 
     schema = docs.select("_id").schema.add("label", "string").add("node", "binary").add("hash", "long").add("text", "string")
@@ -304,14 +367,14 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
 def close_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) of different nodes (node, hash) whose fingerprints are at most HAMMING bits apart and meet in a table.
 
-    Each table keys on two of six blocks of the fingerprint. Copies of one text are one node before they come here, so a
+    Each table keys on three of six blocks of the fingerprint. Copies of one text are one node before they come here, so a
     bucket holds different texts only, and pairs leave the join only if their Hamming distance passes.
     """
     width = [11, 11, 11, 11, 10, 10]
     at = list(itertools.accumulate([0, *width]))
     block = [F.shiftrightunsigned(F.col("hash"), at[i]).bitwiseAND((1 << width[i]) - 1) for i in range(BLOCKS)]
     tables = list(itertools.combinations(range(BLOCKS), KEYED))
-    keys = F.array(*[(F.lit(t) * (1 << 22) + block[i] * (1 << 11) + block[j]).cast("int") for t, (i, j) in enumerate(tables)])
+    keys = F.array(*[F.lit(t) * (1 << 33) + block[i] * (1 << 22) + block[j] * (1 << 11) + block[k] for t, (i, j, k) in enumerate(tables)])
     keyed = nodes.select("node", "hash", F.explode(keys).alias("k"))
     a = keyed.select(F.col("node").alias("a"), F.col("hash").alias("ha"), "k")
     b = keyed.select(F.col("node").alias("b"), F.col("hash").alias("hb"), "k")

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -13,7 +14,7 @@ from millrace.llm.components import connected_components
 from millrace.llm.leakage import agrees, hard_words, leaked, words
 from millrace.llm.mixture import proportional_sample
 from millrace.llm.pairs import defective_pairs, defects
-from millrace.llm.residue import close_pairs, residue, shingles_of, similar, simhash, slot, whole_label, words_of
+from millrace.llm.residue import close_pairs, residue, shingles_of, similar, simhash, slot, slot_in_reply, whole_label, words_of
 from millrace.llm.tokens import Bpe, Tokenizer, merge_plainly, token_budget
 
 CELLS = "mix_name string, cell_id string, sample_share double, kind string, tier int, target_share double, min_rows int"
@@ -195,6 +196,8 @@ def test_blend(spark):
 @pytest.mark.parametrize("text,label", [
     ("404 Not Found\nThe page you asked for is not here.", "error"), ("HOME | SEARCH\n\nPlease enable JavaScript to continue.\n\nTerms | Help", "script"), ("Lorem ipsum dolor sit amet. Magna vestib ornare felis.", "filler"), ("TODO: write this passage\nN/A", "filler"),
     ('{"error": "internal", "status": 500}', "error"), ("Traceback (most recent call last):\n  File x", "error"), ("sample sample sample sample sample sample sample", "filler"), ("Страница не найдена.", "error"),
+    ("Pagina non trovata.", "error"), ("페이지를 찾을 수 없습니다.", "error"), ("请启用 JavaScript 后继续。", "script"), ("Proszę włączyć obsługę JavaScript.", "script"), ("- - -\n- - -", "filler"), ("Vault | Search | Home\n\n502\nBad Gateway", "error"),
+    (json.dumps({"error": "busy", "message": "no answer " * 900}), "error"), (json.dumps({"message": "a letter home"}), None), ("The Mill - Home - Vault", None),
     ("Run 6: 4 of 600 searches came back with error 404 and were asked again.", None), ('{"query": "x", "num_results": 0, "results": []}', None), ("At the playhouse scripts are required reading; actors without one are sent home.", None), ("434 km", None), ("Oslo", None),
 ])
 def test_whole_labels(text, label):
@@ -209,6 +212,11 @@ def test_slots(text, found):
     assert slot(text) is found
 
 
+def test_slots_in_search_replies():
+    reply = lambda x: json.dumps({"query": "x", "num_results": 1, "results": [{"doc_id": "0", "title": "T", "text": x}]})
+    assert slot_in_reply(reply("Wool from ${town} was sold.")) and not slot_in_reply(reply("Wool was sold.")) and not slot_in_reply('{"query": "x", "results": [')
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(4)
     edges = [(f"n{rnd.randrange(120):03}", f"n{rnd.randrange(120):03}") for _ in range(90)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)] + [("a", "a"), (None, "b")]
@@ -222,19 +230,23 @@ def test_components_against_union_find(spark):
     assert got == {n: find(n) for n in up}
 
 
-def test_near_duplicates_against_brute_force(spark):
+def test_simhash_tables_hold_close_fingerprints(spark):
+    rnd = random.Random(5)
+    hashes = [rnd.getrandbits(64) for _ in range(30)]
+    near = [h ^ sum(1 << b for b in rnd.sample(range(64), 3)) for h in hashes]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    df = spark.createDataFrame([(f"{i:03}", signed(h)) for i, h in enumerate(hashes + near)], "node string, hash long")
+    got = {tuple(r) for r in close_pairs(df).collect()}
+    assert got >= {(f"{i:03}", f"{i + 30:03}") for i in range(30)} and all((hashes + near)[int(a)] ^ (hashes + near)[int(b)] for a, b in got)
+
+
+def test_similar_against_brute_force(spark):
     rnd = random.Random(5)
-    base = [[f"w{rnd.randrange(500)}" for _ in range(60)] for _ in range(25)]
-    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["tail"]) for b in base] + [" ".join(["head"] + b[1:]) for b in base[:10]]
-    rows = []
-    for i, t in enumerate(texts):
-        sh = shingles_of(words_of(t.replace("w", "word")))
-        rows.append((f"{i:03}", simhash(sh), [int(x) for x in sh.astype("int64")]))
-    df = spark.createDataFrame(rows, "node string, hash long, shingles array<long>")
-    got = {tuple(r) for r in similar(close_pairs(df), df.select("node", "shingles")).collect()}
-    sets = {n: set(s) for n, _, s in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert got <= want and (not want or len(got) >= 0.5 * len(want))
+    sets = {f"{i:02}": set(rnd.sample(range(14), 10)) for i in range(30)}
+    df = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node string, shingles array<long>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    got = {tuple(r) for r in similar(spark.createDataFrame(pairs, "a string, b string"), df).collect()}
+    assert got == {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} and got
 
 
 def test_residue_links_all_pairs_of_the_stated_similarity(spark):
