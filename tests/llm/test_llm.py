@@ -101,6 +101,32 @@ def test_pair_rules(prompt, answer, want):
     assert (defects(prompt, answer)[0] or [None])[0] == want
 
 
+@pytest.mark.parametrize("answer", [
+    "Mi dispiace, non posso rispondere a questa domanda.", "Lamento, mas não posso responder a essa pergunta.", "Sorry, dat kan ik niet beantwoorden.", "Przykro mi, nie mogę odpowiedzieć na to pytanie.",
+    "很抱歉，我无法回答这个问题。", "죄송합니다. 그 질문에는 답변을 드릴 수 없습니다.", "I am unable to say who that is.", "We are not at liberty to discuss this.",
+])
+def test_refusals_in_other_languages_than_the_data(answer):
+    assert "refusal" in defects("Who?", answer)[0]
+
+
+@pytest.mark.parametrize("prompt,answer,want", [
+    ("Wer ist der Besitzer der alten Mühle und wo ist sie?", "그 방앗간은 강가에 서 있으며 오래된 마을에 속해 있습니다.", True), ("Who owns the old mill of the town?", "这座磨坊属于河边的一个古老村庄。", True), ("Who owns the old mill of the town?", "Il mulino è stato costruito nel villaggio dal figlio della contessa.", True),
+    ("Chi è il padrone del mulino che non è nel villaggio?", "Il mulino è stato costruito nel villaggio dal figlio della contessa.", False), ("Write a caption in Korean for the picture of the mill.", "그 방앗간은 강가에 서 있으며 오래된 마을에 속해 있습니다.", False), ("Who owns the old mill of the town?", "Ο μύλος ανήκει στο παλιό χωριό.", True),
+    ("Wem gehört die alte Mühle in der Stadt?", "漢字 Mühle", False),
+])
+def test_languages_by_script_and_words(prompt, answer, want):
+    assert ("other_language" in defects(prompt, answer)[0]) is want
+
+
+def test_terse_prompts_take_the_language_of_their_other_answers(spark):
+    fr, en = "Le moulin est dans la ville et le conseil est au bord du lac.", "The mill was built by the people of the town."
+    rows = [(f"f{i}", "start=Aldo | question=name the founder", fr) for i in range(3)] + [("e", "start=Aldo | question=name the founder", en)]
+    rows += [(f"g{i}", "start=Bela | question=name the founder", en) for i in range(2)] + [("h", "start=Bela | question=name the founder", fr)]
+    rows += [("one", "start=Cora | question=name the founder", fr), ("takes", "start=Moulin | question=name the founder", fr), ("pair", "Who owns the old mill of the town?", fr)]
+    got = {r["id"]: r["defects"] for r in defective_pairs(spark.createDataFrame(rows, "id string, p string, a string"), "id", "p", "a").collect()}
+    assert got == {"h": ["other_language"], "one": ["other_language"], "pair": ["other_language"]}
+
+
 def test_abrupt_endings_come_from_the_corpus(spark):
     full = [(f"a{i}", "p", f"The mill was built in {1500 + i} by the people of the town.", "answered", i) for i in range(30)]
     odd = [("cut", "p", "The mill was built in 1700 by the", "answered", 1), ("word", "p", "The mill was built in 1700 by the peo", "answered", 1), ("nostop", "p", "The mill was built in 1701 by the people of the town", "answered", 1), ("run", "p", "The mill was", "running", 1), (None, "p", "", "answered", 1), ("re", "p", None, "answered", 1), ("re", "p", "Oslo", "answered", 2)]
