@@ -187,6 +187,9 @@ def test_alignment():
     item, hard = words(ITEM), hard_words(ITEM, {"the"})
     assert agrees(item, hard, words("x " + ITEM), True)
     assert not agrees(item, hard, item[:12], False) and agrees(item, hard, item[3:18], False)
+    stretch = item[3:18]
+    assert agrees(item, hard, [stretch[0], "really", *stretch[2:]], False) == (not hard[4])  # an edit may follow the first word
+    assert agrees(["b", *item], [False, *hard], item, True) and agrees(item, hard, [w for w in item if w != "the"][:2] + item[2:], True)
     wrong = ["nobody" if w == "okerby" else w for w in item]
     assert not agrees(item, hard, wrong, True)
 
@@ -201,6 +204,26 @@ def test_latent_search_recalls_brute_force(spark):
     got = {(r[0], r[1]) for r in leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string, whole boolean, answer string")).collect()}
     want = {(d, i) for d, t in docs for i, x, _, _ in items if agrees(words(x), hard_words(x, set()), words(t), False)}
     assert len(want) >= 80 and len(got & want) >= 0.9 * len(want)
+    few = leaked(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string, whole boolean, answer string"), block_words=200, probes=99)
+    assert {(r[0], r[1]) for r in few.collect()} == got  # neither blocks nor the inverted file change the rows here
+
+
+def test_alignment_against_plain_edit_distance():
+    rnd = random.Random(3)
+
+    def least(item, hard, doc):  # edits of the best alignment of the whole item with a part of the document
+        cur = [0] * (len(doc) + 1)
+        for w, h in zip(item, hard):
+            nxt = [10**6 if h else cur[0] + 1]
+            for j, d in enumerate(doc):
+                nxt.append(min(cur[j] + (0 if d == w else 10**6 if h else 1), 10**6 if h else cur[j + 1] + 1, nxt[j] + (10**6 if d.isdigit() else 1)))
+            cur = nxt
+        return min(cur)
+
+    for _ in range(300):
+        item = [rnd.choice("abcd") for _ in range(rnd.randint(1, 14))]
+        hard, doc = [rnd.random() < 0.2 for _ in item], [rnd.choice("abcd1") for _ in range(rnd.randint(1, 20))]
+        assert agrees(item, hard, doc, True) == (least(item, hard, doc) <= -(-len(item) // 10) + 1)
 
 
 # 7
