@@ -3,8 +3,9 @@
 Every document of a source gets the same expected number of copies, target size / size of the source, at most
 ``max_repeats``. The expected copies are prefix-summed within the source in hashed order, one random offset is added, and
 a document is emitted once for each integer that the running sum crosses: each document comes floor(e) or ceil(e) times.
-The prefix sum is made in two levels: rows are dealt into hashed blocks of bounded size, block totals are summed up per
-source (a small table), and rows only within their block, so that one source may hold any part of the rows.
+As all documents of a source have the same e, the running sum at its i-th document is i times e, and what is summed up are
+counts, exact at any size. They are summed in three levels: rows are dealt into hashed blocks of bounded size, blocks into
+groups, and each level is summed only within the one above it, so that one source may hold any part of the rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import written
 
-#: Expected copies are held in units of 2 ** -24, so that sums are exact whatever their order.
-UNIT = 1 << 24
-#: Rows that a block holds about.
-BLOCK_ROWS = 20_000
+#: Rows that a block holds about, and blocks of a group.
+BLOCK_ROWS, GROUP_BLOCKS = 20_000, 4096
 #: The table of sources is joined by broadcast; a larger one is refused.
 MOST_SOURCES = 200_000
 
@@ -54,18 +53,19 @@ def blend(docs: DataFrame, weights: DataFrame, id_col: str, source_col: str, siz
     expected = F.when(F.col("size") > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_size") / F.col("size"))).otherwise(0.0)
     plan = plan.withColumn("expected_copies", expected).withColumn("short", F.col("max_repeats") * F.col("size") < F.col("target_size"))
 
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(UNIT))
-    step = F.round(F.col("expected_copies") * UNIT).cast("long")
-    r = rows.join(F.broadcast(plan.select("source", step.alias("_e"), offset.alias("_off"))), "source")
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    r = rows.join(F.broadcast(plan.select("source", F.col("expected_copies").alias("_e"), offset.alias("_off")).filter("_e > 0")), "source")
     h = F.xxhash64(F.lit(seed), F.col("_id").cast("string"))
     r = r.withColumn("_h", h).withColumn("_block", F.pmod(h, F.floor(n_rows / BLOCK_ROWS).cast("long") + 1))
-    block = r.groupBy("source", "_block").agg(F.sum("_e").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.select("source", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_block").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_run", F.sum("_e").over(inside)).join(block, ["source", "_block"])
-    upto = F.col("_before") + F.col("_off") + F.col("_run")
-    copies = (F.floor(upto / F.lit(UNIT).cast("decimal(20,0)")) - F.floor((upto - F.col("_e")) / F.lit(UNIT).cast("decimal(20,0)"))).cast("int")
+    block = r.groupBy("source", "_block").agg(F.count("*").alias("_k")).withColumn("_group", F.floor(F.col("_block") / GROUP_BLOCKS))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    group = block.groupBy("source", "_group").agg(F.sum("_k").alias("_k")).select("source", "_group", F.coalesce(F.sum("_k").over(before("source", "_group")), F.lit(0)).alias("_earlier"))
+    block = block.withColumn("_within", F.coalesce(F.sum("_k").over(before("source", "_group", "_block")), F.lit(0)))
+    block = block.join(group, ["source", "_group"]).select("source", "_block", (F.col("_earlier") + F.col("_within")).alias("_before"))
+    inside = Window.partitionBy("source", "_block").orderBy("_h", "_id")
+    r = r.withColumn("_i", F.row_number().over(inside)).join(block, ["source", "_block"]).withColumn("_i", F.col("_i") + F.col("_before"))
+    upto = lambda i: F.floor(i * F.col("_e") + F.col("_off"))
+    copies = (upto(F.col("_i")) - upto(F.col("_i") - 1)).cast("int")
     drawn = written(r.select("_id", "source", "_size", copies.alias("_copies")).filter("_copies > 0"), "blend")
     out = drawn.select(F.col("_id").alias(id_col), "source", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
     got = drawn.groupBy("source").agg(F.sum("_copies").alias("emitted"), F.sum(F.col("_size") * F.col("_copies")).alias("emitted_size"))
@@ -74,6 +74,3 @@ def blend(docs: DataFrame, weights: DataFrame, id_col: str, source_col: str, siz
     report = report.withColumn("actual_share", F.when(whole > 0, F.col("emitted_size") / whole).otherwise(0.0))
     return Blend(out, report)
 
-
-def short_sources(docs: DataFrame, weights: DataFrame, id_col: str, source_col: str, size_col: str, seed: int = 0) -> DataFrame:
-    return blend(docs, weights, id_col, source_col, size_col, seed).report.filter("short").select("source")

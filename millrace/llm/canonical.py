@@ -6,20 +6,23 @@ import hashlib
 import json
 import re
 import unicodedata
-import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir
+from millrace.session import shared_dir, written
 
 #: Parts into which the members of each key are dealt where they are joined with it; groups of copies may be of any size.
 SALTS = 16
+#: Keys of a bucket on average beyond which the ledger is dealt into more buckets.
+BUCKET_ROWS = 2_000_000
 
 _FIELD_NAME = r"[^\W\d](?:[\w.\-]*\w)?(?:[ \t][\w.\-]*\w){0,2}"
 _SEGMENT = re.compile(rf"^[\s\-*•>#\"'(\[{{]*(?P<k>{_FIELD_NAME})[\"']?\s*[:=]+\s*(?P<v>.*)$", re.S)
 _KEY_AT = re.compile(r"(?:^|(?<=[\s;|,{(\[\"'“”«*•>\-]))(?P<k>[^\W\d]\w*)[\"']?\s*[:=]+(?=\s|[\"'\[{(\d\w¿«“]|$)")
+_LINE_MARK = re.compile(r"(?m)^[\s>+=~^<$|*•\-–—#]*[>+=~^<|](?=\s|$)|^[>+=~^|\s]+$")
 _BETWEEN_DIGITS = re.compile(r"(?<=\d)[^\w]+(?=\d)")
 _THOUSANDS = re.compile(r"(?<![\d.,])\d{1,3}(?:,\d{3})+(?![\d,])")
 
@@ -34,22 +37,23 @@ def visible(s: str) -> str:
 def content(s: str) -> str:
     """What is left of visible text without white space, punctuation and quoting.
 
-    Kept besides letters, marks, digits and symbols: a sign between two digits (1.5, 3/4, 10:30), a minus before a
-    number that starts a word, and % after a digit. A comma that groups thousands is dropped.
+    Kept besides letters, marks and digits: symbols, as in C++, x < y and $5, but for those that only quote or list (at the
+    start of a line, or alone on it); a sign between two digits (1.5, 3/4, 10:30), a minus before a number that starts a
+    word, and % after a digit. A comma that groups thousands is dropped.
     """
+    s = _LINE_MARK.sub("", s)
     s = _THOUSANDS.sub(lambda m: m.group().replace(",", ""), s)
     out = []
     for i, c in enumerate(s):
         kind = unicodedata.category(c)[0]
-        if kind in "LN" or (kind == "M" and out) or kind == "S" and c not in "`^¨´¯¸|~<>=+$":
+        if kind in "LN" or (kind == "M" and out) or kind == "S" and c not in "`¨´¯¸|":
             out.append(c)
             continue
         before, after = (out[-1] if out else ""), s[i + 1 : i + 2]
         if before.isdigit() and c == "%":
             out.append("%")
-        elif c in "-−+" and after.isdigit() and (i == 0 or s[i - 1].isspace() or s[i - 1] in "([=:"):
-            if c != "+":
-                out.append("-")
+        elif c in "-−" and after.isdigit() and (i == 0 or s[i - 1].isspace() or s[i - 1] in "([=:"):
+            out.append("-")
         elif i and s[i - 1].isdigit():
             gap = _BETWEEN_DIGITS.match(s, i)
             if gap:
@@ -115,24 +119,51 @@ def canonical_key(text: Column) -> Column:
 
 
 class Ledger:
-    """Counts of distinct records by canonical key, grown batch by batch.
-
-    State: two bucketed tables in the shared folder. ``counts``, bucketed by key, has one row per key: copies and the
-    earliest representative. ``members``, bucketed by record id, so that a hot key spreads over all buckets, has one row
-    per record. A batch is aggregated by key first, so that a hot key arrives as one row; it is then full-outer-joined
-    with the matching buckets, counts are added and the earlier representative stays. The counts are never shuffled again.
-    A batch may repeat records of earlier ones; they are recognised by id among the members and counted once.
+    """Counts of distinct records by canonical key, grown batch by batch; it can be opened again at its path.
+
+    State in the shared folder, in folders of buckets. ``counts`` has one row per key, in the bucket of the key: copies and
+    the earliest representative. ``members`` has one row per record, in the bucket of its id, so that a hot key spreads.
+    A batch is aggregated by key first, so that a hot key arrives as one row; it is then full-outer-joined with the counts
+    of the buckets that it touches, counts are added and the earlier representative stays. Only those buckets are written
+    anew. Records of earlier batches are recognised by id in one join with the members of the buckets touched, however many
+    batches there were. Each update ends by adding a line to the manifest (which folder holds each bucket); what an update
+    that failed has left is never read. Where buckets hold more than BUCKET_ROWS keys on average, the next update deals
+    all into four times as many.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path or shared_dir(spark), buckets
-        self.version, self.counts, self.parts = 0, None, []
-
-    def _store(self, df: DataFrame, what: str, by: str) -> DataFrame:
-        name = f"millrace_{what}_{uuid.uuid4().hex}"
-        path = f"{self.path}/{what}-{self.version}"
-        df.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
-        return self.spark.table(name)
+        self.spark, self.path = spark, (path or shared_dir(spark)).rstrip("/")
+        self.state = {"version": 0, "buckets": buckets, "keys": 0, "counts": {}, "members": []}
+        try:
+            lines = spark.read.text(f"{self.path}/manifest")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            state = F.get_json_object("value", "$.version").cast("int")
+            self.state = json.loads(lines.orderBy(state.desc()).first()["value"])
+
+    @property
+    def version(self) -> int:
+        return self.state["version"]
+
+    def _bucket(self, by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.state["buckets"])).cast("int")
+
+    def _read(self, what: str, schema: str, only: list[int] | None = None) -> DataFrame:
+        """The rows of ``what``, or of its buckets ``only``."""
+        if what == "counts":
+            paths = [f"{v}/bucket={b}" for b, v in self.state["counts"].items() if only is None or int(b) in only]
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not self.state["members"]:
+            return self.spark.createDataFrame([], schema)
+        out = self.spark.read.option("basePath", f"{self.path}/members").schema(f"{schema}, batch string, bucket int").parquet(*self.state["members"])
+        return (out if only is None else out.filter(F.col("bucket").isin(only))).drop("batch", "bucket")
+
+    def _write(self, df: DataFrame, what: str, by: str, tag: str = "new") -> str:
+        path = f"{self.path}/{what}/batch={self.version + 1}-{tag}"
+        df.withColumn("bucket", self._bucket(by)).repartition(self.state["buckets"], "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        return path
 
     def update(self, batch: DataFrame, id_col: str, text_col: str, order_col: str | None = None) -> "Ledger":
         """Add the records of ``batch``. Earliest is the smallest ``order_col`` (nulls last), ties by id; by default the smallest id.
@@ -145,32 +176,45 @@ class Ledger:
         rec = batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), order.alias("ord")).filter(F.col("id").isNotNull() & F.col("_text").isNotNull())
         rec = rec.select("id", "ord", canonical_key(F.col("_text")).alias("key"))
         new = rec.groupBy("id").agg(F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "key")).alias("x")).select("id", "x.key", "x.ord")
-        for known in self.parts:  # one co-located anti join a batch
-            new = new.join(known.select("id"), "id", "left_anti")
-        self.version += 1
-        new = self._store(new, "members", "id")
+        kind = {f.name: f.dataType.simpleString() for f in new.schema}
+        self.state.setdefault("kind", kind)
+        members, counts = self._schemas()
+        grow = self.state["keys"] > BUCKET_ROWS * self.state["buckets"]
+        if grow:
+            old, every = written(self._read("counts", counts), "counts"), written(self._read("members", members), "members")
+            self.state |= {"buckets": 4 * self.state["buckets"], "counts": {}, "members": []}
+            self.state["members"] = [self._write(every, "members", "id", "dealt")]
+        new = written(new, "batch")
+        if self.state["members"]:
+            touched = [r[0] for r in new.select(self._bucket("id")).distinct().toLocalIterator()]
+            new = written(new.join(self._read("members", members, touched).select("id"), "id", "left_anti"), "fresh")
+        added = self._write(new, "members", "id")
         first = F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "id")).alias("first")
         fresh = new.groupBy("key").agg(F.count("*").alias("copies"), first)
-        if self.counts is not None:
-            old = self.counts
-            fresh = old.alias("o").join(fresh.alias("n"), "key", "full_outer").select(
-                "key", (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"),
-                F.least("o.first", "n.first").alias("first"),
-            )
-        self.parts.append(new)
-        self.counts = self._store(fresh, "counts", "key")
+        if not grow:
+            touched = [r[0] for r in fresh.select(self._bucket("key")).distinct().toLocalIterator()]
+            old = self._read("counts", counts, touched)
+        both = old.alias("o").join(fresh.alias("n"), "key", "full_outer").select(
+            "key", (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"), F.least("o.first", "n.first").alias("first"),
+        )
+        at = self._write(both, "counts", "key")
+        done = [r[0] for r in self.spark.read.parquet(at).select("bucket").distinct().toLocalIterator()] if old.limit(1).count() or new.limit(1).count() else []
+        self.state |= {"version": self.version + 1, "counts": self.state["counts"] | {str(b): at for b in done}, "members": [*self.state["members"], added] if new.limit(1).count() else self.state["members"]}
+        self.state["keys"] = self._read("counts", counts).count()
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
         return self
 
+    def _schemas(self) -> tuple[str, str]:
+        kind = self.state.get("kind", {"id": "string", "ord": "string"})
+        return f"id {kind['id']}, key string, ord {kind['ord']}", f"key string, copies bigint, first struct<late:boolean,ord:{kind['ord']},id:{kind['id']}>"
+
     def members(self) -> DataFrame:
-        """key, id, ord of every record counted."""
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """id, key, ord of every record counted."""
+        return self._read("members", self._schemas()[0])
 
     def groups(self) -> DataFrame:
         """kept_id, copies: one row per canonical key."""
-        return self.counts.select("key", F.col("first.id").alias("kept_id"), "copies")
+        return self._read("counts", self._schemas()[1]).select("key", F.col("first.id").alias("kept_id"), "copies")
 
     def duplicates(self) -> DataFrame:
         """kept_id and id of each record that is not its group's representative."""

@@ -36,7 +36,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d).report.select("mix_name", "cell_id", "sample_rows", "available", "quota", "taken", F.round("reached_share", 6).alias("reached_share"), "unmet")
+    return _sample(spark, d).report.select("mix_name", "cell_id", "sample_rows", "available", "quota", "taken", "drawn", F.round("reached_share", 6).alias("reached_share"), "unmet", "below")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +86,12 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     return _kept(_ranked(spark, d)[1])
 
 
+def p3_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The same cap by a weighted draw: a better trajectory is likelier to stay, none is sure to; no task holds over a hundredth."""
+    rows = _ranked(spark, d)[1]
+    return cap_per_contributor(rows, "task_id", "base_task", ["success", "f1"], cap=8, max_share=0.01, temperature=0.25, seed=7)
+
+
 # Problem 4
 def _defects(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trajectory", "task_id", "prompt", "final_answer", "stop_reason", "loaded_at")

@@ -10,6 +10,7 @@ near-duplicate of a text with a slot is often the same text with the slot filled
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -234,21 +235,29 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]+|\d+", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "0", visible(text)))
 
 
-def shingles_of(toks: list[str]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of five words (numbers masked); a shorter text is one run."""
-    toks = ["0" if t[0].isdigit() else t for t in toks]
-    runs = {" ".join(toks[i : i + SHINGLE]) for i in range(max(1, len(toks) - SHINGLE + 1))} if toks else set()
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs), np.uint64, len(runs)))
+@functools.lru_cache(maxsize=200_000)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(("0" if word[0].isdigit() else word).encode("utf-8", "surrogatepass"))
 
 
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+def shingles_of(toks: list[str]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of five words (numbers masked); a shorter text is one run."""
+    if not toks:
+        return np.empty(0, np.uint64)
+    h = np.fromiter((_hash(t) for t in toks), np.uint64, len(toks))
+    width = min(SHINGLE, len(h))
+    run = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        run = (run ^ h[k : len(h) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        run ^= run >> np.uint64(29)
+    return np.unique(run)
 
 
 def simhash(h: np.ndarray) -> int:
     if len(h) == 0:
         return 0
-    ones = ((h[:, None] & _BITS) != 0).sum(axis=0)
-    bits = int((_BITS[ones * 2 > len(h)]).sum(dtype=np.uint64))
+    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 

@@ -31,8 +31,16 @@ def test_sample_meets_quotas_and_reports_unmet(spark):
     got = s.rows.collect()
     assert Counter(r["cell_id"] for r in got) == {k: r["taken"] for k, r in rep.items() if r["taken"]}
     assert len({(r["mix_name"], r["id"]) for r in got}) == len(got)
-    again = proportional_sample(rows.repartition(7), cells, "id", ["kind", "tier"], slices=16).rows.collect()
-    assert sorted(map(str, again)) == sorted(map(str, got))
+    for more in (proportional_sample(rows.repartition(7), cells, "id", ["kind", "tier"], slices=16), proportional_sample(rows, cells, "id", ["kind", "tier"], slices=512)):
+        assert sorted(map(str, more.rows.collect())) == sorted(map(str, got))
+
+
+def test_floors_beyond_the_sample_shrink(spark):
+    rows = spark.createDataFrame([(f"t{i}", "abc"[i % 3], 0) for i in range(900)], "id string, kind string, tier int")
+    cells = spark.createDataFrame([("m", str(k), 100 / 900, "abc"[k], None, s, f) for k, (s, f) in enumerate([(0.98, 5), (0.01, 50), (0.01, 10)])] + [("n", f"n{k}", 100 / 900, "abc"[k], None, s, 50) for k, s in enumerate([0.98, 0.01, 0.01])], CELLS)
+    rep = {r["cell_id"]: r for r in proportional_sample(rows, cells, "id", ["kind", "tier"]).report.collect()}
+    assert [rep[k]["drawn"] for k in "012"] == [40, 50, 10] and rep["0"]["below"] and not rep["1"]["below"]
+    assert sum(rep[f"n{k}"]["drawn"] for k in range(3)) == 100 and min(rep[f"n{k}"]["drawn"] for k in range(3)) >= 33
 
 
 def test_sample_edges(spark):
@@ -50,6 +58,7 @@ def test_sample_edges(spark):
     ("Who, then?", "﻿who then ", True), ("café", "café", True), ("Ａｂc", "abc", True), ("within 1.5 km", "within 15 km", False), ("-5", "5", False), ("10%", "10", False), ("1,000", "1000", True),
     ('{"a": 1, "b": "x y"}', "b = X Y\na = 1", True), ("a: 1; b: 2", "- b: 2\n- a: 1", True), ("a: 1; b: 2", "a: 2; b: 1", False), ("A=1 | B=2", "(b=2 | a=1)", True),
     ("red dog: big", "big: red dog", False), ("who sold to whom", "whom sold to who", False), ("", " \n", True), ("un­der", "under", True), ("1 2", "12", False),
+    ("What is C++?", "What is C?", False), ("x < y", "x > y", False), ("a+b", "ab", False), ("costs $5", "costs 5", False), ("> Who?\n> Me.", "who me", True), ("a + b", "a+b", True),
 ])
 def test_canonical(a, b, same):
     assert (canonical(a) == canonical(b)) is same
@@ -73,6 +82,26 @@ def test_ledger_in_batches_equals_one_batch(spark):
     assert Ledger(spark, buckets=4).update(df.limit(0), "id", "text").groups().count() == 0
 
 
+def test_ledger_is_opened_again_and_writes_touched_buckets_only(spark, tmp_path):
+    first = spark.createDataFrame([(f"a{i:02}", f"Text {i}.") for i in range(60)], "id string, text string")
+    Ledger(spark, str(tmp_path), buckets=8).update(first, "id", "text")
+    again = Ledger(spark, str(tmp_path))
+    before = dict(again.state["counts"])
+    again.update(spark.createDataFrame([("b1", "text 7"), ("a03", "another text")], "id string, text string"), "id", "text")
+    assert again.version == 2 and sum(before[b] != v for b, v in again.state["counts"].items()) == 1
+    last = Ledger(spark, str(tmp_path))
+    assert [tuple(r) for r in last.duplicates().collect()] == [("a07", "b1")] and last.groups().count() == 60 and last.members().count() == 61
+
+
+def test_ledger_grows_into_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr("millrace.llm.canonical.BUCKET_ROWS", 5)
+    rows = [(f"a{i:02}", f"Text {i % 40}.") for i in range(60)]
+    ledger = Ledger(spark, buckets=2)
+    for k in range(3):
+        ledger.update(spark.createDataFrame(rows[20 * k : 20 * k + 20], "id string, text string"), "id", "text")
+    assert ledger.state["buckets"] > 2 and ledger.groups().count() == 40 and ledger.duplicates().count() == 20 and ledger.members().count() == 60
+
+
 # 3
 def test_cap(spark):
     rows = [(f"x{i:03}", "hot", i % 7 / 7) for i in range(300)] + [("n1", None, None), ("n2", None, float("nan")), ("z", "one", 1.0), (None, "one", 2.0)]
