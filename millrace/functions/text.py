@@ -93,6 +93,19 @@ def unseen_numbers(text: Column, seen: Column) -> Column:
     return F.filter(runs, lambda d: (norm_text(d) != "") & ~F.contains(seen, norm_text(d)))
 
 
+def longest_name(query: Column) -> Column:
+    """The longest run of capitalised words in lower case, by words, then characters, the first of equals; empty if there is none."""
+    runs = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"([A-Z][A-Za-z0-9']*(?:\s+[A-Z][A-Za-z0-9']*)*)"), F.lit(1))
+    sized = F.transform(runs, lambda r, i: F.struct(F.size(F.split(r, r"\s+")).alias("w"), F.length(r).alias("n"), (-i).alias("i"), r.alias("r")))
+    return F.coalesce(F.lower(F.array_max(sized)["r"]), F.lit(""))
+
+
+def canonical_value(v: Column) -> Column:
+    """A flat argument for comparison: numbers and numeric strings to six places, other text trimmed in lower case."""
+    t = F.trim(v)
+    return F.coalesce(F.round(t.try_cast("double"), 6).cast("string"), F.lower(t))
+
+
 def clip(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 20), F.lit("... [+"), (F.length(c) - (n - 20)).cast("string"), F.lit(" chars]"))).otherwise(c)
 

@@ -37,14 +37,15 @@ def search(passages: DataFrame, queries: DataFrame, top_k: int | Column = 3) ->
 
     A document's score is folded over the query's tokens in order, repeats included: a token that the document has adds
     its weight, and if the title has it too, the score so far is multiplied. Only scores above 0 count; ties go to the
-    smaller doc_id as text. top_k is clamped to 1..10. Scores are rounded to four places before ranking.
+    smaller doc_id as text. top_k is clamped to 1..10, null is 3. Ranks are those of the unrounded scores, compared to ten places so that the order in
+    which floats were added decides nothing; the score returned is rounded to four.
     """
-    k = F.least(F.greatest((top_k if isinstance(top_k, Column) else F.lit(top_k)).cast("int"), F.lit(1)), F.lit(10))
+    k = F.least(F.greatest(F.coalesce((top_k if isinstance(top_k, Column) else F.lit(top_k)).cast("int"), F.lit(3)), F.lit(1)), F.lit(10))
     q = queries.select("world", "query_id", k.alias("_k"), F.posexplode(words_bm25(F.col("query"))).alias("pos", "term"))
     docs, post = index(passages, q)
     hit = q.join(post, ["world", "term"]).join(docs, ["world", "doc_id"])
     w = score_terms(F.col("n"), F.col("avg"), F.col("df"), F.col("tf"), F.col("length"))
     hit = hit.groupBy("world", "query_id", "doc_id", "_k").agg(F.sort_array(F.collect_list(F.struct("pos", w.alias("w"), F.when(F.col("in_title"), F.lit(TITLE_BOOST)).otherwise(F.lit(1.0)).alias("b")))).alias("_s"))
-    hit = hit.withColumn("score", F.round(F.aggregate("_s", F.lit(0.0), lambda a, x: (a + x["w"]) * x["b"]), 4)).filter("score > 0")
-    order = Window.partitionBy("world", "query_id").orderBy(F.desc("score"), F.col("doc_id").cast("string"))
-    return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("_k")).select("world", "query_id", "rank", "doc_id", "score")
+    hit = hit.withColumn("score", F.aggregate("_s", F.lit(0.0), lambda a, x: (a + x["w"]) * x["b"])).filter("score > 0")
+    order = Window.partitionBy("world", "query_id").orderBy(F.desc(F.round("score", 10)), F.col("doc_id").cast("string"))
+    return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("_k")).select("world", "query_id", "rank", "doc_id", F.round("score", 4).alias("score"))

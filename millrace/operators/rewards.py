@@ -37,7 +37,7 @@ def reward_parts(cards: DataFrame) -> DataFrame:
 def centred(reward: Column, group: str, scale: str = "std", baseline: str = "mean", sign_baseline: float = 0.0, eps: float = 1e-4) -> Column:
     """Advantage of a reward within its group: distance from the baseline over a spread about the same baseline.
 
-    scale: std, mad or none. baseline: the group's mean, or ``sign`` for a fixed one. 0 where the spread is below eps.
+    scale: std or none (mad: see centred_mad). baseline: the group's mean, or ``sign`` for a fixed one. 0 where the spread is below eps.
     """
     w = Window.partitionBy(group)
     ref = F.avg(reward).over(w) if baseline == "mean" else F.lit(sign_baseline)
@@ -46,11 +46,21 @@ def centred(reward: Column, group: str, scale: str = "std", baseline: str = "mea
     mean = F.avg(reward).over(w)
     # the spread about ref, from windows that do not nest
     std = F.sqrt(F.greatest(F.lit(0.0), F.var_pop(reward).over(w) + (mean - ref) * (mean - ref)))
-    mad = F.aggregate(F.collect_list(reward).over(w), F.lit(0.0), lambda a, x: a + F.abs(x - ref)) / F.count(reward).over(w)
-    spread = std if scale == "std" else mad
+    if scale == "mad":
+        raise ValueError("the mean distance needs the group's mean first: use centred_mad")
+    spread = std
     return F.when(spread < eps, 0.0).otherwise((reward - ref) / (spread + eps))
 
 
+def centred_mad(df: DataFrame, reward: str, group: str, baseline: str = "mean", sign_baseline: float = 0.0, eps: float = 1e-4) -> DataFrame:
+    """df with ``advantage``, the distance from the baseline over the mean distance: means first, then distances, each a grouped aggregate."""
+    ref = df.groupBy(group).agg((F.avg(reward) if baseline == "mean" else F.lit(sign_baseline)).alias("_ref"))
+    away = df.join(ref, group).withColumn("_away", F.abs(F.col(reward) - F.col("_ref")))
+    mad = away.groupBy(group).agg(F.avg("_away").alias("_mad"))
+    out = away.join(mad, group).withColumn("advantage", F.when(F.col("_mad") < eps, 0.0).otherwise((F.col(reward) - F.col("_ref")) / (F.col("_mad") + eps)))
+    return out.drop("_ref", "_away", "_mad")
+
+
 def by_efficiency(reward: Column, calls: Column, success: Column, group: str, lam: float, floor: float = 0.2) -> Column:
     """Rewards of successes shrunk by the calls beyond the fewest of a success in the group; failures as they are."""
     best = F.min(F.when(success, calls)).over(Window.partitionBy(group))

@@ -30,7 +30,7 @@ def j09(spark, d):
     return t.join(bad, "task_id", "left_anti")
 
 
-@query("j10_leftovers", "select 0::bigint as leftovers")
+@query("j10_leftovers", f"with {TK}, kept as (select task_id from tk where not exists (select 1 from judge_row j where {_NQ('j.question')} = {_NQ('tk.prompt')})), again as (select {_NQ('tk.prompt')} as q from kept join tk using (task_id)) select count(*) as leftovers from again where q in (select {_NQ('question')} from judge_row)")
 def j10(spark, d):
     held = table(spark, d, "judge_row", "question").select(norm_question(F.col("question")).alias("q"))
     kept = j08(spark, d).join(tasks(spark, d, "prompt"), "task_id").select(_nq(F.col("prompt")).alias("q"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.plans.base import CA, RE, TK, cards, records, tasks
 from millrace.registry import query
+from millrace.sources.jsonl import fingerprint
 from millrace.sources.tables import table
 
 RATES = ["success", "format_strict", "format_loose", "necessity_ok", "selection_ok", "args_ok", "recovery_ok", "final_correct", "side_effect_ok"]
@@ -116,10 +118,26 @@ def s04(spark, d):
     return table(spark, d, "task", "task_type").groupBy("task_type").agg(F.count("*").alias("n"))
 
 
-@query("s10_fingerprint", "select sha256(string_agg(row, chr(10) order by row)) as fingerprint from (select id || '|' || question || '|' || answer as row from judge_row)")
+@query("s10_fingerprint", f"""with {TK}, h as (select sha256('{{"prompt":' || coalesce(cast(to_json(prompt) as varchar), 'null') || ',"task_id":' || cast(to_json(task_id) as varchar) || '}}') as h from tk where prompt is null or not regexp_matches(prompt, '[^\\x20-\\x2e\\x30-\\x7e]')),
+  b as (select ('0x' || h[1:2])::bigint as b, sha256(string_agg(h, '' order by h)) as h from h group by 1) select sha256(string_agg(lpad(cast(b as varchar), 3, '0') || ':' || h, ',' order by b)) as fingerprint, (select count(*) from h) as n_rows from b""")
 def s10(spark, d):
-    j = table(spark, d, "judge_row", "id", "question", "answer").select(F.concat_ws("|", "id", "question", "answer").alias("row"))
-    return j.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("row")), "\n"), 256).alias("fingerprint"))
+    t = tasks(spark, d, "prompt").select("task_id", "prompt").filter("prompt is null or not prompt rlike '[^\\\\x20-\\\\x2e\\\\x30-\\\\x7e]'")  # JSON writers differ beyond plain characters
+    return fingerprint(t, nulls=True).withColumn("n_rows", F.lit(t.agg(F.count("*")).scalar()))
+
+
+@query("d14_sorted_ids", f"with {TK} select row_number() over (order by task_id) as place, task_id from tk")
+def d14(spark, d):
+    """Places in the order of ids, without ranking the table in one task: ranges of ids first, then places within them."""
+    ids = tasks(spark, d, "seed").select("task_id").withColumn("b", F.substring("task_id", 1, 14))
+    per = ids.groupBy("b").agg(F.count("*").alias("k"))
+    before = per.select("b", F.coalesce(F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a range
+    return ids.join(before, "b").select((F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("task_id"))).alias("place"), "task_id")
+
+
+@query("d16_term_order", f"""with {CA}, t as ({' union all '.join(f"select '{t}' as term, coalesce(case when not isnan({t}) then {t} end, 0)::double as x, coalesce(success, false)::int as y from ca" for t in _TERMS)}),
+    c as (select term, round(corr(x, y), 4) as r from t group by 1) select row_number() over (order by r desc nulls last, term) as place, term, r from c""")
+def d16(spark, d):
+    return a08(spark, d).select(F.row_number().over(Window.orderBy(F.desc_nulls_last("r"), "term")).alias("place"), "term", "r")  # one row a term
 
 
 @query("s09_judge_checks", "select count(*) as n, count(distinct id) as ids, count(*) filter (where trim(answer) = '' or answer is null) as blank_gold, min(len(context)) as least_passages from judge_row")

@@ -40,15 +40,15 @@ def _bm25_sql(passages: str, queries: str, k: str = "3") -> str:
         ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (1 - 0.75::double + 0.75::double * length / (case when av > 0 then av else 1 end))) as w
       from qt join post using (world, term) join dfs using (world, term) join pl using (world, doc_id) join per using (world)),
     f as (select *, exp(sum(ln(b)) over (partition by world, query_id, doc_id order by pos rows between current row and unbounded following)) as m from h),
-    sc as (select world, query_id, doc_id, any_value(k) as k, round(sum(w * m), 4) as score from f group by 1, 2, 3),
-    hits as (select * from (select world, query_id, row_number() over (partition by world, query_id order by score desc, doc_id) as rank, doc_id, score, k from sc where score > 0) where rank <= least(greatest(k, 1), 10))"""
+    sc as (select world, query_id, doc_id, any_value(k) as k, sum(w * m) as score from f group by 1, 2, 3),
+    hits as (select world, query_id, rank, doc_id, round(score, 4) as score from (select world, query_id, row_number() over (partition by world, query_id order by round(score, 10) desc, doc_id) as rank, doc_id, score, k from sc where score > 0) where rank <= least(greatest(coalesce(k, 3), 1), 10))"""
 
 
 _JP = "select id as world, cast(generate_subscripts(context, 1) - 1 as varchar) as doc_id, unnest(context).title as title, unnest(context).paragraph_text as text from judge_row"
 _JQ = "select id as world, 'q' as query_id, question as query from judge_row"
 _TP = "select task_id as world, unnest(documents).doc_id as doc_id, unnest(documents).title as title, unnest(documents).text as text from tk where len(documents) > 0"
 _TQ = "select task_id as world, lpad(cast(generate_subscripts(oracle_plan, 1) - 1 as varchar), 3, '0') as query_id, unnest(oracle_plan).arguments.query as query, unnest(oracle_plan).arguments.top_k as top_k from tk where len(documents) > 0"
-_JUDGE, _PLAN = _bm25_sql(_JP, _JQ), f"{TK}, " + _bm25_sql(_TP, _TQ)
+_JUDGE, _PLAN = _bm25_sql(_JP, _JQ), f"{TK}, " + _bm25_sql(_TP, _TQ, "top_k")
 
 
 @query("r01_index_stats", f"with {_JUDGE} select world, count(*) as n_docs, round(avg(length), 4) as avg_length, (select count(*) from dfs where dfs.world = pl.world) as n_terms from pl group by world")
@@ -84,20 +84,20 @@ def r04(spark, d):
 @query("r06_plan_replay", f"with {_PLAN} select world, query_id, cast(rank as integer) as rank, doc_id, score from hits")
 def r06(spark, d):
     p, q, _ = task_world(spark, d)
-    return search(p, q, 3)
+    return search(p, q, F.col("top_k"))
 
 
 @query("r08_retrieved_by_family", f"with {_PLAN} select task_type, count(distinct world) as tasks, count(distinct world || '/' || doc_id) as retrieved from hits join tk on tk.task_id = hits.world group by 1")
 def r08(spark, d):
     p, q, t = task_world(spark, d)
-    hits = search(p, q, 3).select("world", "doc_id").distinct().join(t.select(F.col("task_id").alias("world"), "task_type"), "world")
+    hits = search(p, q, F.col("top_k")).select("world", "doc_id").distinct().join(t.select(F.col("task_id").alias("world"), "task_type"), "world")
     return hits.groupBy("task_type").agg(F.countDistinct("world").alias("tasks"), F.count("*").alias("retrieved"))
 
 
 def plan_hits(spark: SparkSession, d: str) -> DataFrame:
     """One row per task and plan step: does a hit's title and text hold the gold answer, does one name the next link of the chain."""
     p, q, t = task_world(spark, d)
-    hits = search(p, q, 3).join(p, ["world", "doc_id"]).withColumn("blob", norm_text(F.concat_ws(" ", "title", "text")))
+    hits = search(p, q, F.col("top_k")).join(p, ["world", "doc_id"]).withColumn("blob", norm_text(F.concat_ws(" ", "title", "text")))
     hits = hits.groupBy("world", "query_id").agg(F.collect_list("blob").alias("blobs"))
     t = t.select(F.col("task_id").alias("world"), "task_type", "chain", F.filter(F.transform(gold_forms(F.col("gold.kind"), F.col("gold.value")), norm_text), lambda x: x != "").alias("forms"), F.size("oracle_plan").alias("n"))
     j = q.select("world", "query_id", "pos").join(hits, ["world", "query_id"], "left").join(t, "world")

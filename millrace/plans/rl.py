@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators.rewards import by_efficiency, centred, reward_parts
+from millrace.operators.rewards import by_efficiency, centred, centred_mad, reward_parts
 from millrace.plans.base import CA, cards
 from millrace.registry import query
 
@@ -42,7 +42,12 @@ def w01(spark, d):
 
 @query("w02_planb_mad", f"with {RO}, {_AG} select task_id, round(case when mad < 1e-4 then 0 else (reward - mean) / (mad + 1e-4) end, 4) as advantage from m")
 def w02_mad(spark, d):
-    return rollouts(spark, d).select("task_id", F.round(centred(F.col("reward"), "grp", "mad"), 4).alias("advantage"))
+    return centred_mad(rollouts(spark, d), "reward", "grp").select("task_id", F.round("advantage", 4).alias("advantage"))
+
+
+@query("w02_planb_std", f"with {RO}, {_AG} select task_id, round(case when sd < 1e-4 then 0 else (reward - mean) / (sd + 1e-4) end, 4) as advantage from m")
+def w02_std(spark, d):
+    return rollouts(spark, d).select("task_id", F.round(centred(F.col("reward"), "grp", "std"), 4).alias("advantage"))
 
 
 @query("w02_planb_none", f"with {RO}, {_AG} select task_id, round(reward - mean, 10) + 0.0 as advantage from m")

@@ -75,7 +75,11 @@ def t08(spark, d):
     return gp.select("task_id", F.col("gold.kind").alias("kind"), m["reason"].alias("reason"))
 
 
-@query("t06_answer_f1")
+_SURFACE = """case gold.kind when 'any_of' then from_json(gold.value, '["varchar"]') when 'all_of' then [array_to_string(from_json(gold.value, '["varchar"]'), ' ')] when 'none' then [null] else [case when gold.value like '"%"' then gold.value[2:-2] else gold.value end] end"""
+F1S = f"sf as (select task_id, unnest({_SURFACE}) as form, final_answer from gp), sw as (select task_id, {squad('form')} as g, {squad('final_answer')} as p from sf), sc as (select *, coalesce({_CNT}, 0) as c from sw), f1s as (select task_id, coalesce(max(case when c > 0 then 2.0 * c / (len(g) + len(p)) else 0 end), 0)::double as f1 from sc group by 1)"
+
+
+@query("t06_answer_f1", f"with {_GP}, {F1S} select task_id, round(f1, 6)::double as f1 from f1s")
 def t06(spark, d):
     return _gp(spark, d).select("task_id", F.round(T.answer_f1(T.gold_forms(F.col("gold.kind"), F.col("gold.value")), F.col("final_answer")), 6).alias("f1"))
 
@@ -108,9 +112,12 @@ def t23(spark, d):
     return s.select("task_id", "step", F.length(T.cut_at_stop(F.col("t"), ["</tool_call>", "</final_answer>"])).alias("kept"))
 
 
-@query("t30_tidy")
+_TIDY = "regexp_replace(regexp_replace(prompt, '[ \\t\\n\\r\\f\\x0b]+([?.,!;:])', '\\1', 'g'), '[ \\t\\n\\r\\f\\x0b]+(''s)\\b', '\\1', 'g')"
+
+
+@query("t30_tidy", f"with {TK}, y as (select task_id, prompt, {_TIDY} as t from tk) select task_id, md5(case when {toks('t')} = {toks('prompt')} then t else prompt end) as tidy_md5 from y where prompt is not null")
 def t30(spark, d):
-    return tasks(spark, d, "prompt").select("task_id", T.tidy(F.col("prompt")).alias("tidy"))
+    return tasks(spark, d, "prompt").filter("prompt is not null").select("task_id", F.md5(T.tidy(F.col("prompt"))).alias("tidy_md5"))
 
 
 @query("t32_question_norm", "select id, trim(regexp_replace(regexp_replace(lower(trim(question)), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) as question from judge_row")

@@ -38,9 +38,9 @@ def write_sorted(df: DataFrame, path: str, by: str) -> None:
     df.select(*sorted(df.columns)).repartition(1).sortWithinPartitions(by).write.mode("overwrite").json(path)
 
 
-def fingerprint(df: DataFrame, buckets: int = 256) -> DataFrame:
+def fingerprint(df: DataFrame, buckets: int = 256, nulls: bool = False) -> DataFrame:
     """One row, sha256 of the table whatever its order: rows are hashed, hashes sorted within buckets, buckets hashed."""
-    h = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h")).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets)
+    h = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": str(not nulls).lower()}), 256).alias("h")).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets)
     per = h.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return per.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 3, "0"), "h"))), ","), 256).alias("fingerprint"))
 
