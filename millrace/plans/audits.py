@@ -74,7 +74,8 @@ def axes(spark, d):
 
 
 _AXES = ["psychic_first", "psychic_think", "unretrieved", "leaky", "conflicting"]
-_FOUND = [F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in _AXES]
+def _found():
+    return [F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in _AXES]
 
 
 def by_question(spark, d):
@@ -88,7 +89,7 @@ def by_question(spark, d):
 
 
 def whole_verdict(spark, d):
-    found = by_question(spark, d).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *_FOUND)
+    found = by_question(spark, d).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *_found())
     return found.withColumn("clean", F.greatest(*_AXES) == 0)
 
 
@@ -105,7 +106,7 @@ def q06_five(spark, d):
 @query("q06_hops")
 def q06_hops(spark, d):
     calls = F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("calls")))).cast("array<string>"), "/")
-    return by_question(spark, d).groupBy("hop").agg(F.sum("records").alias("records"), calls.alias("calls"), *_FOUND)
+    return by_question(spark, d).groupBy("hop").agg(F.sum("records").alias("records"), calls.alias("calls"), *_found())
 
 
 @query("q07_data_gate_five")

@@ -51,7 +51,13 @@ def a05(spark, d):
 @query("a07_point_biserial", f"with {CA} select task_type, case when count(*) filter (where success is not null and num_calls is not null) >= 3 then round(corr(num_calls, success::int), 4) end as r from ca group by 1")
 def a07(spark, d):
     ok = F.col("success").isNotNull() & F.col("num_calls").isNotNull()
-    return cards(spark, d, "task_type", "success", "num_calls").groupBy("task_type").agg(F.when(F.count(F.when(ok, 1)) >= 3, F.round(F.corr(F.col("num_calls").cast("double"), F.col("success").cast("double")), 4)).alias("r"))
+    c = cards(spark, d, "task_type", "success", "num_calls").withColumn("x", F.when(ok, F.col("num_calls").cast("double"))).withColumn("y", F.when(ok, F.col("success").cast("double")))
+    return c.groupBy("task_type").agg(F.when(F.count(F.when(ok, 1)) >= 3, correlation("x", "y")).alias("r"))
+
+
+def correlation(x: str, y: str):
+    """The correlation of two columns to four places, null where one of them is constant."""
+    return F.round(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), 4)
 
 
 _TERMS = ["final_f1", "num_calls", "num_tool_errors", "oracle_calls"]
@@ -63,7 +69,7 @@ _TERMS = ["final_f1", "num_calls", "num_tool_errors", "oracle_calls"]
 def a08(spark, d):
     c = cards(spark, d, "success", *_TERMS)
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.coalesce(F.nanvl(F.col(t).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias("x")) for t in _TERMS]))
-    c = c.select(F.coalesce("success", F.lit(False)).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").groupBy("term").agg(F.countDistinct("x").alias("k"), F.round(F.corr("x", "y"), 4).alias("r"))
+    c = c.select(F.coalesce("success", F.lit(False)).cast("double").alias("y"), pairs.alias("p")).select("y", "p.*").groupBy("term").agg(F.countDistinct("x").alias("k"), correlation("x", "y").alias("r"))
     return c.select("term", "r", F.when(F.col("k") < 2, "CONSTANT").when(F.col("r").isNull() | (F.abs("r") < 0.05), "FLAT").when(F.col("r") < -0.10, "INVERTED").otherwise("OK").alias("verdict"))
 
 

@@ -84,7 +84,7 @@ def t06(spark, d):
     return _gp(spark, d).select("task_id", F.round(T.answer_f1(T.gold_forms(F.col("gold.kind"), F.col("gold.value")), F.col("final_answer")), 6).alias("f1"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in T.FUNCTION_WORDS)
+STOPS_SQL = _STOPS = ", ".join(f"'{w}'" for w in T.FUNCTION_WORDS)
 
 
 @query("t09_psychic_caps", f"with {TK} select task_id, array_to_string([w for w in regexp_extract_all(oracle_plan[1].arguments.query, '[A-Za-z]+') if regexp_matches(w, '^[A-Z]') and lower(w) not in ({_STOPS}) and not contains(lower(coalesce(prompt, '')), lower(w))], ' ') as invented from tk where len(oracle_plan) > 0")

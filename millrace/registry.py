@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from millrace.plans import audits, chains, curation, decontamination, episodes, extras, reasoning, reports, retrieval, rl, sets, streams, text, tools  # noqa: F401
+    from millrace.plans import audits, chains, curation, decontamination, episodes, extras, reasoning, reports, retrieval, rl, sets, streams, text, tools, wholes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

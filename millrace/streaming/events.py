@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from millrace.session import shared_dir
 
@@ -51,3 +53,15 @@ def run_to_end(spark: SparkSession, path: str, f: Callable[[DataFrame], DataFram
         q = w.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out")).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+def last_five(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The mean of a key's last five values after each event; what is kept between batches is the five."""
+    last = list(state.get[0]) if state.exists else []
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    out = []
+    for i, v in zip(rows["event_id"], rows["value"]):
+        last = [*last, float(v)][-5:]
+        out.append((i, round(sum(last) / len(last), 4)))
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["event_id", "rolling"])
