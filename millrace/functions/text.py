@@ -10,7 +10,7 @@ FUNCTION_WORDS = (
     "a an the of in on at and or for to by i it its this that these those he she they "
     "his her their there then when what where which who whom whose why how as is was "
     "were be been from with about after before during however although while but also "
-    "such other did does do done can could should will would may might must"
+    "such other did does do done can could would should will may might must"
 ).split()
 # Phrases that abstain.
 ABSTENTIONS = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators.curate import first_k, hashed, quality_reason, rebalance, repeated_call
+from millrace.operators.curate import first_by_hash, first_k, hashed, quality_reason, rebalance, repeated_call
 from millrace.plans.base import CA, TK, TR, cards, tasks, trajectories
 from millrace.registry import query
 
@@ -103,7 +103,7 @@ def d06(spark, d):
     t = tasks(spark, d, "documents").select("task_id", (F.size("documents") > 0).alias("is_real"))
     real, made = t.agg(F.count(F.when(F.col("is_real"), 1))).scalar(), t.agg(F.count(F.when(~F.col("is_real"), 1))).scalar()
     want = F.when(F.col("is_real"), F.least(real, F.floor(made * 0.25 / 0.75))).otherwise(F.least(made, F.floor(real * 0.75 / 0.25)))
-    return first_k(t, ["is_real"], [hashed("comb", F.col("task_id")), F.col("task_id")], want).select("task_id", "is_real")
+    return first_by_hash(t.withColumn("want", want), ["is_real"], hashed("comb", F.col("task_id")), "task_id", "want").select("task_id", "is_real")
 
 
 @query("d07_weighted_pick", f"with {TK}, u as (select task_id, ('0x' || sha1(task_id)[1:8])::bigint / 4294967296.0::double as u from tk) select task_id, case when u < 0.4 then 'musique_2hop' when u < 0.7 then 'musique_3hop' when u < 0.9 then 'musique_4hop' else 'no_tool' end as family from u")
@@ -116,7 +116,8 @@ def d07(spark, d):
 def d08(spark, d):
     t = tasks(spark, d, "difficulty")
     n = t.groupBy(F.col("difficulty").alias("d2")).agg(F.count("*").alias("n"))
-    return first_k(t.join(F.broadcast(n), F.col("difficulty").eqNullSafe(F.col("d2"))), ["difficulty"], [hashed("strat", F.col("task_id")), F.col("task_id")], F.bround(F.col("n") * 0.3)).select("task_id", "difficulty")
+    t = t.join(n, F.col("difficulty").eqNullSafe(F.col("d2"))).withColumn("want", F.bround(F.col("n") * 0.3))
+    return first_by_hash(t, ["difficulty"], hashed("strat", F.col("task_id")), "task_id", "want").select("task_id", "difficulty")
 
 
 @query("d12_split", f"with {TK}, x as (select task_id, row_number() over (order by {_H('split', 'task_id')}, task_id) as rank, count(*) over () as n from tk) select task_id from x where rank <= greatest(1, floor(n * 0.05))")
@@ -140,5 +141,10 @@ def d13(spark, d):
 
     from millrace.sources.tables import table
 
-    rn = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber"))
-    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("rn", rn).filter(F.col("rn") % 100 == 1).select("l_orderkey", "l_linenumber")
+    # A flag holds a third of all rows: places come from counts by ranges of order keys, and from the places within a range.
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("b", F.floor(F.col("l_orderkey") / 4096))
+    per = li.groupBy("l_returnflag", "b").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("l_returnflag").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("l_returnflag", "b").orderBy("l_orderkey", "l_linenumber"))
+    x = li.join(per.select("l_returnflag", "b", before.alias("before")), ["l_returnflag", "b"]).withColumn("rn", F.col("before") + inside)
+    return x.filter(F.col("rn") % 100 == 1).select("l_orderkey", "l_linenumber")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clip, invented_names, norm_text, unseen_numbers
-from millrace.operators.curate import first_k, hashed
+from millrace.operators.curate import first_by_hash, hashed
 from millrace.plans.audits import _ST, turns
 from millrace.plans.base import RE, TK, TR, norm, records, tasks, trajectories
 from millrace.plans.curation import _H
@@ -67,14 +67,15 @@ def d09(spark, d):
     # The largest key takes what rounding leaves.
     rest = size - F.floor(0.3 * 0.5 * total) - F.floor(0.3 * 0.3 * total) - F.floor(0.3 * 0.2 * total)
     want = F.floor(0.3 * share * total) + F.when(F.col("difficulty") == 3, rest).otherwise(0)
-    return first_k(t, ["difficulty"], [F.sha1("task_id"), F.col("task_id")], want).select("task_id", "difficulty")
+    return first_by_hash(t.withColumn("want", want), ["difficulty"], F.sha1("task_id"), "task_id", "want").select("task_id", "difficulty")
 
 
 @query("g15_quota_per_hop", f"with {TK}, e as (select task_id, difficulty, row_number() over (partition by difficulty order by sha1(task_id), task_id) as rank, count(*) over (partition by difficulty) as n from tk where len(oracle_plan) > 1) select task_id, difficulty from e where rank <= round_even(0.25 * n, 0)")
 def g15(spark, d):
     t = tasks(spark, d, "difficulty", "oracle_plan").filter(F.size("oracle_plan") > 1)
     n = t.groupBy(F.col("difficulty").alias("d2")).agg(F.count("*").alias("n"))
-    return first_k(t.join(F.broadcast(n), F.col("difficulty").eqNullSafe(F.col("d2"))), ["difficulty"], [F.sha1("task_id"), F.col("task_id")], F.bround(F.col("n") * 0.25)).select("task_id", "difficulty")
+    t = t.join(n, F.col("difficulty").eqNullSafe(F.col("d2"))).withColumn("want", F.bround(F.col("n") * 0.25))
+    return first_by_hash(t, ["difficulty"], F.sha1("task_id"), "task_id", "want").select("task_id", "difficulty")
 
 
 @query("g16_capacity", f"with {TK}, r as (select array_to_string(route, '>') as route, count(distinct chain[1]) as heads, count(distinct oracle_answer) as answers, len(any_value(route)) as hops from tk where len(route) > 0 group by 1) select hops, sum(heads * answers)::bigint as capacity, count(*) as routes from r group by 1")
@@ -127,4 +128,4 @@ def d10(spark, d):
     t = tasks(spark, d, "documents").select("task_id", (F.size("documents") > 0).alias("is_real"))
     size = F.least(F.lit(64), t.agg(F.count("*")).scalar())
     real = F.bround(size * 0.25)
-    return first_k(t, ["is_real"], [hashed("step", F.col("task_id")), F.col("task_id")], F.when(F.col("is_real"), real).otherwise(size - real)).select("task_id", "is_real")
+    return first_by_hash(t.withColumn("want", F.when(F.col("is_real"), real).otherwise(size - real)), ["is_real"], hashed("step", F.col("task_id")), "task_id", "want").select("task_id", "is_real")
