@@ -133,7 +133,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark, self.path = spark, (path or shared_dir(spark)).rstrip("/")
-        self.state = {"version": 0, "buckets": buckets, "keys": 0, "counts": {}, "members": []}
+        self.state = {"version": 0, "buckets": buckets, "counts": {}, "members": []}
         try:
             lines = spark.read.text(f"{self.path}/manifest")
         except AnalysisException as e:
@@ -153,7 +153,7 @@ class Ledger:
     def _read(self, what: str, schema: str, only: list[int] | None = None) -> DataFrame:
         """The rows of ``what``, or of its buckets ``only``."""
         if what == "counts":
-            paths = [f"{v}/bucket={b}" for b, v in self.state["counts"].items() if only is None or int(b) in only]
+            paths = [f"{v}/bucket={b}" for b, (v, _) in self.state["counts"].items() if only is None or int(b) in only]
             return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         if not self.state["members"]:
             return self.spark.createDataFrame([], schema)
@@ -179,28 +179,27 @@ class Ledger:
         kind = {f.name: f.dataType.simpleString() for f in new.schema}
         self.state.setdefault("kind", kind)
         members, counts = self._schemas()
-        grow = self.state["keys"] > BUCKET_ROWS * self.state["buckets"]
+        grow = sum(n for _, n in self.state["counts"].values()) > BUCKET_ROWS * self.state["buckets"]
         if grow:
             old, every = written(self._read("counts", counts), "counts"), written(self._read("members", members), "members")
             self.state |= {"buckets": 4 * self.state["buckets"], "counts": {}, "members": []}
             self.state["members"] = [self._write(every, "members", "id", "dealt")]
         new = written(new, "batch")
         if self.state["members"]:
-            touched = [r[0] for r in new.select(self._bucket("id")).distinct().toLocalIterator()]
+            touched = [r[0] for r in new.select(self._bucket("id")).distinct().collect()]  # one row a bucket
             new = written(new.join(self._read("members", members, touched).select("id"), "id", "left_anti"), "fresh")
         added = self._write(new, "members", "id")
         first = F.min(F.struct(F.col("ord").isNull().alias("late"), "ord", "id")).alias("first")
         fresh = new.groupBy("key").agg(F.count("*").alias("copies"), first)
         if not grow:
-            touched = [r[0] for r in fresh.select(self._bucket("key")).distinct().toLocalIterator()]
+            touched = [r[0] for r in new.select(self._bucket("key")).distinct().collect()] if self.state["counts"] else []  # one row a bucket
             old = self._read("counts", counts, touched)
         both = old.alias("o").join(fresh.alias("n"), "key", "full_outer").select(
             "key", (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"), F.least("o.first", "n.first").alias("first"),
         )
         at = self._write(both, "counts", "key")
-        done = [r[0] for r in self.spark.read.parquet(at).select("bucket").distinct().toLocalIterator()] if old.limit(1).count() or new.limit(1).count() else []
-        self.state |= {"version": self.version + 1, "counts": self.state["counts"] | {str(b): at for b in done}, "members": [*self.state["members"], added] if new.limit(1).count() else self.state["members"]}
-        self.state["keys"] = self._read("counts", counts).count()
+        per = self.spark.read.schema("key string, bucket int").parquet(at).groupBy("bucket").agg(F.count("*").alias("n")).collect()  # one row a bucket
+        self.state |= {"version": self.version + 1, "counts": self.state["counts"] | {str(r["bucket"]): [at, r["n"]] for r in per}, "members": [*self.state["members"], added] if per and (not grow or new.limit(1).count()) else self.state["members"]}
         self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
         return self
 

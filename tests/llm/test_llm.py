@@ -88,7 +88,7 @@ def test_ledger_is_opened_again_and_writes_touched_buckets_only(spark, tmp_path)
     again = Ledger(spark, str(tmp_path))
     before = dict(again.state["counts"])
     again.update(spark.createDataFrame([("b1", "text 7"), ("a03", "another text")], "id string, text string"), "id", "text")
-    assert again.version == 2 and sum(before[b] != v for b, v in again.state["counts"].items()) == 1
+    assert again.version == 2 and sum(before[b] != v for b, v in again.state["counts"].items()) == 1 and sum(n for _, n in again.state["counts"].values()) == 60
     last = Ledger(spark, str(tmp_path))
     assert [tuple(r) for r in last.duplicates().collect()] == [("a07", "b1")] and last.groups().count() == 60 and last.members().count() == 61
 
@@ -366,5 +366,16 @@ def test_queries_run_on_small_tables(spark):
 
     found = queries.queries()
     assert {k for k in found if k.endswith("_found")} == {f"p{n}_found" for n in (1, 2, 3, 4, 6, 7, 8)}
-    for k in ("p1_found", "p3_found", "p5_token_budget", "p7_found"):
-        assert found[k](spark, "/root/testdata/sf0.001").count() >= 0
+    duckdb = pytest.importorskip("duckdb")
+    from millrace.llm.oracles import oracle_sql
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("task", "trajectory", "scorecard", "mix_targets"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    for k, sql in oracle_sql().items():
+        got = found[k](spark, folder)
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()) and got.count()
+    total = found["p5_token_budget"](spark, folder).filter("all_source = 1 and all_lang = 1 and all_task_type = 1").first()
+    assert total["n_texts"] == spark.read.parquet(f"{folder}/sft_record.parquet").select("record_id").distinct().count() and total["n_tokens"] > total["n_texts"]
+    rep = found["p7_report"](spark, folder).collect()
+    assert {r["source"] for r in rep if r["short"]} == {r["source"] for r in found["p7_found"](spark, folder).collect()} and all(abs(r["emitted"] - r["n_docs"] * r["expected_copies"]) <= 1.001 for r in rep)
