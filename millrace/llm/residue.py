@@ -314,10 +314,16 @@ def _shingled(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(part, schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each and in the same order: up to 127 as they are, above in steps of a fifth of a doubling."""
+    return np.where(counts < 128, counts, 128 + np.floor(5 * np.log2(np.maximum(counts, 128) / 128))).astype(np.uint8)
+
+
 def _frequencies(texts: DataFrame) -> np.ndarray:
-    """Counts of the shingles' hashes, each in one of COUNTERS; a shingle is in no more texts than its counter says.
+    """Levels of the counts of the shingles' hashes, each in one of COUNTERS; a shingle is in no more texts than its counter says.
 
     Tasks count for themselves and send the slices that are not empty; those are added up where their number sends them.
+    The driver gets one slice at a time and keeps a byte a counter.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,9 +345,9 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"slice": [i], "counts": [zlib.compress(part.tobytes(), 1)]})
 
     kind = "slice int, counts binary"
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(COUNTERS, np.uint8)
     for r in texts.mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind).toLocalIterator():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _levels(np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32))
     return out
 
 
@@ -367,6 +373,7 @@ def prefix_pairs(texts: DataFrame) -> DataFrame:
 
     schema = texts.select("node").schema.add("k", "long").add("at", "integer").add("n", "integer")
     keyed = written(texts.mapInPandas(part, schema), "prefixes")
+    sent.destroy()  # else each query of a session leaves its counters with the driver and the executors
     a = keyed.withColumnsRenamed({"node": "a", "at": "ia", "n": "na"})
     b = keyed.withColumnsRenamed({"node": "b", "at": "ib", "n": "nb"})
     room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))

@@ -1,7 +1,9 @@
 import json
+import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from millrace.llm.components import connected_components
 from millrace.llm.leakage import agrees, hard_words, leaked, words
 from millrace.llm.mixture import proportional_sample
 from millrace.llm.pairs import defective_pairs, defects
-from millrace.llm.residue import close_pairs, residue, shingles_of, similar, simhash, slot, slot_in_reply, whole_label, words_of
+from millrace.llm.residue import COUNTERS, _frequencies, _levels, _node, close_pairs, prefix_pairs, residue, shingles_of, similar, simhash, slot, slot_in_reply, whole_label, words_of
 from millrace.llm.tokens import Bpe, Tokenizer, merge_plainly, token_budget
 
 CELLS = "mix_name string, cell_id string, sample_share double, kind string, tier int, target_share double, min_rows int"
@@ -344,6 +346,20 @@ def test_residue_links_all_pairs_of_the_stated_similarity(spark):
     assert sum(want.values()) > 100 and got == {i: n for i, n in want.items() if i % 9}
 
 
+def test_counters_are_small_on_the_driver_and_given_back(spark, monkeypatch):
+    n = np.r_[0 : 1 << 12, (1 << 32) - 1].astype(np.uint32)
+    level = _levels(n)
+    assert (np.diff(level.astype(int)) >= 0).all() and (level[:128] == n[:128]).all() and level[-1] > level[-2]
+    docs = ["a mill stands by the river", "a mill stands by the river today", "a mill stands by the sea"]
+    texts = spark.createDataFrame([(bytearray(_node(words_of(t))), t) for t in docs], "node binary, _text string")
+    got, want = _frequencies(texts), Counter(k % COUNTERS for t in docs for k in shingles_of(words_of(t)).tolist())
+    assert got.nbytes == COUNTERS and {int(i): int(got[i]) for i in np.flatnonzero(got)} == want and max(want.values()) == 3
+    sent, make = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(make(x)) or sent[-1])
+    prefix_pairs(texts).collect()
+    assert len(sent) == 1 and not os.path.exists(sent[0]._path)
+
+
 def test_residue_passes_labels_on_but_not_slots(spark):
     err = "The store of passages is closed today and nobody can say when the doors of it will be open for you again my friend"
     docs = [(1, "Please enable JavaScript to view the passage."), (2, None), (3, "  "), (4, "A mill stands in {town} and the river by it is slow, so the wheel turns only in spring when snow melts."), (5, "A mill stands in Oslo and the river by it is slow, so the wheel turns only in spring when snow melts."), (6, err), (6, err), (7, "Please enable JavaScript to view the passage."), (None, err + " today")]
